@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, repair_store
+from . import line_dedup, repair_store, sentence_pieces
 from .common import table, tokenizer_file, work_dir
 
 #: ``[\x20\x09-\x0D]`` as DuckDB text.
@@ -38,6 +38,10 @@ def op2_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_store.read_shards(spark, manifest)
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and callable(v)}
 
