@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, repair_store, sentence_pieces
+from . import hidden_markov, line_dedup, repair_store, sentence_pieces
 from .common import table, tokenizer_file, work_dir
 
 #: ``[\x20\x09-\x0D]`` as DuckDB text.
@@ -42,6 +42,16 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def _fold(n: int):
+    """crc32 of doc_id as text, modulo n; a null doc_id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(10) == 0).alias("held_out"))
+    return hidden_markov.scored(docs, work_dir(spark, "hmm"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and callable(v)}
 
