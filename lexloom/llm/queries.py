@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hidden_markov, line_dedup, repair_store, sentence_pieces
+from . import hidden_markov, line_dedup, quality_rules, repair_store, sentence_pieces
 from .common import table, tokenizer_file, work_dir
 
 #: ``[\x20\x09-\x0D]`` as DuckDB text.
@@ -52,9 +52,35 @@ def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.scored(docs, work_dir(spark, "hmm"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), work_dir(spark, "quality"))
+
+
+_SQL_WORD = r"[^\x20\x09-\x0D]+"
+OP10_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '{_SQL_WORD}') AS w FROM docs),
+windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + {quality_rules.WINDOW - 1}), ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {quality_rules.WINDOW - 2}, 1))) AS i FROM words)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n >= 2),
+repeats AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {quality_rules.WINDOW})) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, doc_id, source, line, translate(trim(line, {_SQL_SPACE}), {_SQL_FOLD}) AS key FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM docs)),
+full_lines AS (SELECT * FROM lines WHERE key <> ''),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, sum(strlen(key)) AS line_bytes FROM full_lines GROUP BY r),
+hosts AS (SELECT source, greatest({quality_rules.LEAST}, count(*) * {quality_rules.SHARE}) AS most FROM docs GROUP BY source),
+often AS (SELECT l.source, l.key, min(l.doc_id) AS least FROM full_lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.key, h.most HAVING count(DISTINCT l.r) > h.most),
+removed AS (SELECT l.r, sum(strlen(l.key)) AS gone FROM full_lines l JOIN often o ON l.key = o.key AND l.source IS NOT DISTINCT FROM o.source WHERE l.doc_id IS DISTINCT FROM o.least GROUP BY l.r),
+counted AS (SELECT w.r, w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars, len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(d.n_dup_lines, 0) AS n_dup_lines, coalesce(p.n_repeat_words, 0) AS n_repeat_words, coalesce(g.gone, 0) AS removed_bytes, coalesce(d.line_bytes, 0) AS line_bytes
+  FROM words w LEFT JOIN dups d ON w.r = d.r LEFT JOIN repeats p ON w.r = p.r LEFT JOIN removed g ON w.r = g.r),
+failed AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CAST(removed_bytes AS BIGINT) AS removed_bytes, CAST(line_bytes AS BIGINT) AS line_bytes,
+  NOT base_failed AND NOT (line_bytes - removed_bytes < {quality_rules.DEPLETED} * line_bytes) AS kept FROM failed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op10_quality_rules": OP10_SQL}
