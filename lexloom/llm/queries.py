@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hidden_markov, line_dedup, quality_rules, repair_store, sentence_pieces
+from . import hidden_markov, language_id, line_dedup, quality_rules, repair_store, sentence_pieces
 from .common import table, tokenizer_file, work_dir
 
 #: ``[\x20\x09-\x0D]`` as DuckDB text.
@@ -47,6 +47,12 @@ def _fold(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_fold(4) == 2).alias("held_out"))
+    network = language_id.fitted(docs.where(~F.col("held_out")))
+    return language_id.predicted(docs.select("doc_id", "held_out", "text"), network).drop("text")
+
+
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(10) == 0).alias("held_out"))
     return hidden_markov.scored(docs, work_dir(spark, "hmm"))
