@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hidden_markov, language_id, line_dedup, quality_rules, repair_store, sentence_pieces
-from .common import table, tokenizer_file, work_dir
+from . import hidden_markov, language_id, line_dedup, mixing, quality_rules, repair_store, sentence_pieces
+from .common import table, tokenizer_file, work_dir, written
 
 #: ``[\x20\x09-\x0D]`` as DuckDB text.
 _SQL_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -53,6 +53,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(docs.select("doc_id", "held_out", "text"), network).drop("text")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_dir(spark, "mix")
+    rows = written(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")), f"{root}/rows")
+    mix = mixing.Mix(rows, root)
+    sources = mix.sources.select("src_", "nul_", "source_size", "target")
+    taken = mixing.keyed(mix.applied(rows)).join(sources, ["src_", "nul_"])
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
+
+
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(10) == 0).alias("held_out"))
     return hidden_markov.scored(docs, work_dir(spark, "hmm"))
