@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hidden_markov, language_id, line_dedup, mixing, quality_rules, repair_store, sentence_pieces
+from . import hidden_markov, language_id, line_dedup, mixing, multi_index, quality_rules, repair_store, sentence_pieces, warc_bundles
 from .common import table, tokenizer_file, work_dir, written
 
 #: ``[\x20\x09-\x0D]`` as DuckDB text.
@@ -38,6 +38,11 @@ def op2_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_store.read_shards(spark, manifest)
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return multi_index.neighbours(vectors, F.col("id") % 20 == 0, work_dir(spark, "index"), k=20)
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -53,6 +58,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(docs.select("doc_id", "held_out", "text"), network).drop("text")
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc_bundles.write_bundles(table(spark, sf_dir, "pages"), work_dir(spark, "warc"), least=0)
+    return warc_bundles.read_bundles(spark, index)
+
+
+OP5_SQL = """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+heads AS (SELECT h, min(page_id) AS least FROM hashed GROUP BY h)
+SELECT p.page_id, strlen(p.payload) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(p.h, CAST((j // 4) * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN p.page_id = s.least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id = s.least THEN NULL ELSE s.least END AS refers_to
+FROM hashed p JOIN heads s ON p.h = s.h
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "mix")
     rows = written(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")), f"{root}/rows")
@@ -98,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_warc_bundles": OP5_SQL, "op10_quality_rules": OP10_SQL}
