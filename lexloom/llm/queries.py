@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hidden_markov, language_id, line_dedup, mixing, multi_index, quality_rules, repair_store, sentence_pieces, warc_bundles
+from . import hidden_markov, language_id, line_dedup, mixing, multi_index, prob_minhash, quality_rules, repair_store, sentence_pieces, warc_bundles
 from .common import table, tokenizer_file, work_dir, written
 
 #: ``[\x20\x09-\x0D]`` as DuckDB text.
@@ -83,6 +83,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
+def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.classified(table(spark, sf_dir, "documents"), work_dir(spark, "near"))
+
+
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(10) == 0).alias("held_out"))
     return hidden_markov.scored(docs, work_dir(spark, "hmm"))
