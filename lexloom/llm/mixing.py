@@ -140,6 +140,8 @@ class Mix:
 
 
 def mixed_rows(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its shard, shuffled within the shard."""
+    """The mix itself: each row as often as it is taken, with its shard; rows are dealt to partitions by a hash of shard, document and copy
+    and stand in the hash's order there, so that a shard of any size is shuffled without coming together in one task."""
     taken = mix.applied(docs).where(F.col("copies") > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("shards").alias("copy", "shard"))
-    return taken.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(mix.seed + 5), "doc_id", "copy"), "doc_id")
+    order = F.xxhash64(F.lit(mix.seed + 5), "shard", "doc_id", "copy")
+    return taken.repartition(order).sortWithinPartitions("shard", order, "doc_id")
