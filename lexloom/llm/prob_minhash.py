@@ -6,11 +6,14 @@ first. Two signatures agree in a slot with the probability Jaccard similarity of
 cut off once its time is behind the latest first arrival of its document. Signatures are cut into bands; documents that share a band are
 candidates, and a candidate pair counts if the Jaccard similarity of the sets of distinct shingles is ``SIMILARITY`` or more.
 
-Equal word sequences are one text (a node) from the start, however many copies there are. Within a bucket of a band no list
-of all pairs is made: every node is compared with one hub first; then, as long as a bucket's nodes still are in different components,
-the nodes outside its largest component become hubs in turn and are compared with the nodes of other components. A node that
-has been a hub has no open comparison left, so that a bucket is done when the others are in one component: no link between components is
-lost. Components are found by label propagation over written tables.
+Equal word sequences are one text (a node) from the start, however many copies there are. No list of all pairs of a bucket is made. If
+all but a few nodes of a bucket (``FEW``) are in one component, these few are compared with the others; if not, every node is compared with one hub, the one with the most company. Two
+nodes of which one isn't similar to the hub can still be similar to each other. By the prefix rule of set joins they then share one of
+their first n - SIMILARITY n + 1 shingles, in any order that both are put in; with the shingles that the hub lacks put first, the rarest among the
+hub's company before others, these are each node's own changes, which hardly anyone shares. So nodes are dealt into new buckets by hub and such a shingle, and the same is done with
+those that still hold nodes of different components, until there are none. (A node that lies within a longer hub has hub's shingles in its prefix as
+well; these count only for hubs with such a node, and only for nodes whose length can fit.) Each bucket loses its hub, so that this ends, and no
+link between components is lost. Components are found by label propagation over written tables.
 
 Defined results: every row gets the smallest doc_id of its class; a text without a word is a class of its own; a text of fewer words than a
 shingle is a single shingle; rows with the same doc_id are judged by their texts; a null doc_id is never the smallest unless it is alone; an
@@ -30,9 +33,9 @@ from .common import remove, slices, texts, written
 from .wordscan import mixed, powers, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 4
-#: New hubs of a bucket in each round after the first.
-HUBS = 16
+BANDS, ROWS = 24, 5
+#: A bucket whose nodes outside its largest component are no more than this many has them compared with all others directly; by level.
+FEW = (24, 128, 256, 1024)
 PACKED = 5  # bytes kept of a shingle's hash for verification
 
 
@@ -81,7 +84,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     key = np.zeros(parts.shape[:2], np.uint64)
     for k in range(rows):
         key = mixed(key + parts[:, :, k])
-    return key
+    return mixed(key + np.arange(bands, dtype=np.uint64))  # the band counts
 
 
 def nodes_of(words: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
@@ -132,27 +135,47 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _set(blob: bytes) -> np.ndarray:
     wide = np.zeros((len(blob) // PACKED, 8), np.uint8)
     wide[:, 8 - PACKED :] = np.frombuffer(blob, np.uint8).reshape(-1, PACKED)
-    return wide.view(">u8").ravel().astype(np.uint64)
+    return wide.view(">u8").ravel().astype(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+def compared(hub: np.ndarray, node: np.ndarray, similarity: float) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether two sorted sets are similar, the node's shingles that the hub lacks, and as many of the others as are left of its prefix's length."""
+    at = np.searchsorted(hub, node)
+    inside = np.zeros(len(node), bool)
+    ok = at < len(hub)
+    inside[ok] = hub[at[ok]] == node[ok]
+    common = int(inside.sum())
+    linked = common >= similarity * (len(hub) + len(node) - common) - 1e-9
+    most = len(node) - int(np.ceil(similarity * len(node) - 1e-9)) + 1
+    own = node[~inside]
+    return linked, own, node[inside][: max(0, most - len(own))]
 
 
-def _verified(similarity: float):
+def _checked(similarity: float):
+    """(a, b, n, linked, own, common) of (a, b, star, x, y): all pairs with a hub, and of the others those that are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, held = None, np.zeros(0, np.int64)
         for batch in batches:
-            keep = []
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            keep, links, sizes = [], [], []
+            parts: tuple[list, list] = [], []
+            for i, (a, star, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
                 if a != last:
                     last, held = a, _set(x)
-                if similar(held, _set(y), similarity):
+                node = _set(y)
+                linked, *prefix = compared(held, node, similarity)
+                if star or linked:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+                    links.append(linked)
+                    sizes.append(len(node))
+                    for out, p in zip(parts, prefix, strict=True):
+                        out.append(p if star else p[:0])
+            rows = pa.array(keep, pa.int64())
+            lists = []
+            for out in parts:
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in out])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int64()), pa.array(links, pa.bool_()), *lists], ["a", "b", "n", "linked", "own", "common"])
 
     return run
 
@@ -187,43 +210,56 @@ def classified(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(docs.mapInArrow(_sketch(bands, rows), "doc_id long, node binary, n long, bands array<long>"), f"{root}/sketches")
     nodes = sketches.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    entries = nodes.select("node", "doc_id", "n", F.posexplode("bands").alias("band", "key"))
-    hubs = entries.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    members = written(entries.join(hubs, ["band", "key"]).select("band", "key", "node", "doc_id", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), f"{root}/members")
+    nodes = written(nodes, f"{root}/nodes")
+    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    members = written(entries.join(shared.select("bucket"), "bucket"), f"{root}/members0")
 
-    needed = members.select("node", "doc_id").distinct()
+    needed = nodes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
     found = docs.join(needed.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("node", "text")
-    # a repeated doc_id can bring the same text twice; a pair is then verified twice, which changes nothing
+    # a repeated doc_id can bring the same text twice; a pair is then compared twice, which changes nothing
     blobs = written(found.mapInArrow(_packed, "node binary, blob binary"), f"{root}/blobs")
+    sizes = nodes.select("node", "n")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) that are similar; a pair whose set sizes rule it out isn't looked at."""
-        left = pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a")
-        whole = left.join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
-        return written(whole.mapInArrow(_verified(similarity), "a binary, b binary"), f"{root}/{name}")
-
-    fit = F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - F.lit(1e-9)
-    edges = verified(members.where((F.col("node") != F.col("hub")) & fit).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "edges1")
-    labels = written(components(spark, edges, None, f"{root}/components1"), f"{root}/labels1")
-    retired = members.select("band", "key", F.col("hub").alias("node")).distinct()
-    turn = 1
+    labels: DataFrame | None = None
+    level = 0
     while True:
-        turn += 1
-        state = members.select("band", "key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = state.join(retired, ["band", "key", "node"], "left_anti")
-        split = open_.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c"))
-        largest = split.groupBy("band", "key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1).select("band", "key", F.col("top.label").alias("top"))
-        waiting = open_.join(largest, ["band", "key"]).where(F.col("label") != F.col("top"))
-        order = Window.partitionBy("band", "key").orderBy("node")
-        new = written(waiting.withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("band", "key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n")), f"{root}/hubs{turn}")
-        if not new.limit(1).count():
+        state = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        groups = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
+        open_ = groups.where(F.col("top.c") < F.col("size")).select("bucket", "size", F.col("top.label").alias("top"), (F.col("size") - F.col("top.c") <= FEW[min(level, len(FEW) - 1)]).alias("direct"))
+        state = written(state.join(open_, "bucket"), f"{root}/state{level}")
+        large = state.where(~F.col("direct"))
+        few = state.where(F.col("direct") & (F.col("label") != F.col("top"))).select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"))
+        met = few.join(state.where("direct").select("bucket", "node", "label"), "bucket").where(F.col("label") != F.col("a_label"))
+        direct = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        fit = F.least("n", "a_n") >= F.lit(similarity) * F.greatest("n", "a_n") - F.lit(1e-9)
+        direct = direct.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").join(sizes.withColumnRenamed("node", "b"), "b").where(fit).select("a", "b", F.lit(False).alias("star"))
+        company = large.groupBy("node").agg(F.sum("size").alias("company"))
+        hubs = large.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("a"))
+        star = large.join(hubs, "bucket").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct().withColumn("star", F.lit(True))
+        pairs = direct.unionByName(star)
+        whole = pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b")
+        checked = written(whole.select("a", "b", "star", "x", "y").mapInArrow(_checked(similarity), "a binary, b binary, n long, linked boolean, own array<long>, common array<long>"), f"{root}/checked{level}")
+        edges = checked.where("linked").select("a", "b")
+        if labels is None or not edges.isEmpty():
+            labels = written(components(spark, edges, labels, f"{root}/components{level}"), f"{root}/labels{level}")
+        again = checked.where(F.size("own") + F.size("common") > 0)
+        # only hubs with a node that isn't similar to them have anything left to find
+        lonely = again.where(~F.col("linked")).groupBy("a").agg(F.max(F.when(F.size("common") > 0, F.col("n"))).alias("longest"))
+        left = again.join(lonely, "a")
+        reach = (F.col("n") * F.lit(similarity) <= F.col("longest") + F.lit(1e-9)) & F.col("longest").isNotNull()
+        most = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1
+        owned = left.select("a", F.col("b").alias("node"), most.alias("most"), F.explode("own").alias("shingle"))
+        common = owned.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("c"))
+        rarest = Window.partitionBy("a", "node").orderBy("c", "shingle")
+        first = owned.join(common, ["a", "shingle"]).withColumn("place", F.row_number().over(rarest)).where((F.col("place") <= F.col("most")) & (F.col("c") > 1))
+        within = left.where(reach & (F.size("common") > 0)).select("a", F.col("b").alias("node"), F.explode("common").alias("shingle"))
+        dealt = first.select("a", "node", "shingle").unionByName(within).select(F.xxhash64("a", "shingle").alias("bucket"), "node")
+        several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("bucket")
+        level += 1
+        members = written(dealt.join(several, "bucket").distinct(), f"{root}/members{level}")
+        if members.isEmpty():
             break
-        met = state.join(new, ["band", "key"]).where((F.col("label") != F.col("a_label")) & (F.least("n", "a_n") >= F.lit(similarity) * F.greatest("n", "a_n") - F.lit(1e-9)))
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = verified(pairs, f"edges{turn}")
-        if more.limit(1).count():
-            labels = written(components(spark, more, labels, f"{root}/components{turn}"), f"{root}/labels{turn}")
-        retired = written(retired.unionByName(new.select("band", "key", F.col("a").alias("node"))), f"{root}/retired{turn}")
     placed = sketches.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").withColumn("group_", F.coalesce("label", "node"))
     smallest = placed.where(F.col("group_").isNotNull()).groupBy("group_").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(smallest, "group_", "left").select("doc_id", F.when(F.col("group_").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_shingles")
