@@ -9,8 +9,8 @@ candidates, and a candidate pair counts if the Jaccard similarity of the sets of
 Equal word sequences are one text (a node) from the start, however many copies there are. No list of all pairs of a bucket is made. If
 all but a few nodes of a bucket (``FEW``) are in one component, these few are compared with the others; if not, every node is compared with one hub, the one with the most company. Two
 nodes of which one isn't similar to the hub can still be similar to each other. By the prefix rule of set joins they then share one of
-their first n - SIMILARITY n + 1 shingles, in any order that both are put in; with the shingles that the hub lacks put first, the rarest among the
-hub's company before others, these are each node's own changes, which hardly anyone shares. So nodes are dealt into new buckets by hub and such a shingle, and the same is done with
+their first n - SIMILARITY n + 1 shingles, in any order that both are put in, and of the smaller one even n - 2 SIMILARITY / (1 + SIMILARITY) n + 1 do; with
+the shingles that the hub lacks put first, these are each node's own changes, which hardly anyone shares. So nodes are dealt into new buckets by hub and such a shingle, and the same is done with
 those that still hold nodes of different components, until there are none. (A node that lies within a longer hub has hub's shingles in its prefix as
 well; these count only for hubs with such a node, and only for nodes whose length can fit.) Each bucket loses its hub, so that this ends, and no
 link between components is lost. Components are found by label propagation over written tables.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remove, slices, texts, written
@@ -138,8 +138,8 @@ def _set(blob: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.int64)
 
 
-def compared(hub: np.ndarray, node: np.ndarray, similarity: float) -> tuple[bool, np.ndarray, np.ndarray]:
-    """Whether two sorted sets are similar, the node's shingles that the hub lacks, and as many of the others as are left of its prefix's length."""
+def compared(hub: np.ndarray, node: np.ndarray, similarity: float) -> tuple[bool, np.ndarray, np.ndarray, int]:
+    """Whether two sorted sets are similar, the node's prefix (its shingles that the hub lacks, and as many of the others as are left), and how many the hub lacks."""
     at = np.searchsorted(hub, node)
     inside = np.zeros(len(node), bool)
     ok = at < len(hub)
@@ -148,26 +148,27 @@ def compared(hub: np.ndarray, node: np.ndarray, similarity: float) -> tuple[bool
     linked = common >= similarity * (len(hub) + len(node) - common) - 1e-9
     most = len(node) - int(np.ceil(similarity * len(node) - 1e-9)) + 1
     own = node[~inside]
-    return linked, own, node[inside][: max(0, most - len(own))]
+    return linked, own[:most], node[inside][: max(0, most - len(own))], len(own)
 
 
 def _checked(similarity: float):
-    """(a, b, n, linked, own, common) of (a, b, star, x, y): all pairs with a hub, and of the others those that are similar."""
+    """(a, b, n, lacks, linked, own, common) of (a, b, star, x, y): all pairs with a hub, and of the others those that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.int64)
         for batch in batches:
-            keep, links, sizes = [], [], []
+            keep, links, sizes, lacks = [], [], [], []
             parts: tuple[list, list] = [], []
             for i, (a, star, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
                 if a != last:
                     last, held = a, _set(x)
                 node = _set(y)
-                linked, *prefix = compared(held, node, similarity)
+                linked, *prefix, lack = compared(held, node, similarity)
                 if star or linked:
                     keep.append(i)
                     links.append(linked)
                     sizes.append(len(node))
+                    lacks.append(lack)
                     for out, p in zip(parts, prefix, strict=True):
                         out.append(p if star else p[:0])
             rows = pa.array(keep, pa.int64())
@@ -175,7 +176,7 @@ def _checked(similarity: float):
             for out in parts:
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in out])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int64()), pa.array(links, pa.bool_()), *lists], ["a", "b", "n", "linked", "own", "common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int64()), pa.array(lacks, pa.int64()), pa.array(links, pa.bool_()), *lists], ["a", "b", "n", "lacks", "linked", "own", "common"])
 
     return run
 
@@ -213,7 +214,8 @@ def classified(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands
     nodes = written(nodes, f"{root}/nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    members = written(entries.join(shared.select("bucket"), "bucket"), f"{root}/members0")
+    # n and own: a node's shingles, and those that the bucket's hub lacks; in the first buckets there is no hub yet
+    members = written(entries.join(shared.select("bucket"), "bucket").withColumns({"n": F.lit(0).cast("long"), "own": F.lit(0).cast("long"), "brief": F.lit(True)}), f"{root}/members0")
 
     needed = nodes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
     found = docs.join(needed.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("node", "text")
@@ -229,8 +231,11 @@ def classified(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands
         open_ = groups.where(F.col("top.c") < F.col("size")).select("bucket", "size", F.col("top.label").alias("top"), (F.col("size") - F.col("top.c") <= FEW[min(level, len(FEW) - 1)]).alias("direct"))
         state = written(state.join(open_, "bucket"), f"{root}/state{level}")
         large = state.where(~F.col("direct"))
-        few = state.where(F.col("direct") & (F.col("label") != F.col("top"))).select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"))
-        met = few.join(state.where("direct").select("bucket", "node", "label"), "bucket").where(F.col("label") != F.col("a_label"))
+        few = state.where(F.col("direct") & (F.col("label") != F.col("top"))).select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("own").alias("a_own"), F.col("brief").alias("a_brief"))
+        # what two nodes can share at most, inside and outside their hub, against what their similarity asks for
+        reachable = F.least(F.col("n") - F.col("own"), F.col("a_n") - F.col("a_own")) + F.least("own", "a_own") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("a_n")) - F.lit(1e-6)
+        smaller = F.when((F.col("n") < F.col("a_n")) | ((F.col("n") == F.col("a_n")) & (F.col("node") < F.col("a"))), F.col("brief")).otherwise(F.col("a_brief"))
+        met = few.join(state.where("direct").select("bucket", "node", "label", "n", "own", "brief"), "bucket").where((F.col("label") != F.col("a_label")) & reachable & smaller)
         direct = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         fit = F.least("n", "a_n") >= F.lit(similarity) * F.greatest("n", "a_n") - F.lit(1e-9)
         direct = direct.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").join(sizes.withColumnRenamed("node", "b"), "b").where(fit).select("a", "b", F.lit(False).alias("star"))
@@ -239,7 +244,7 @@ def classified(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands
         star = large.join(hubs, "bucket").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct().withColumn("star", F.lit(True))
         pairs = direct.unionByName(star)
         whole = pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b")
-        checked = written(whole.select("a", "b", "star", "x", "y").mapInArrow(_checked(similarity), "a binary, b binary, n long, linked boolean, own array<long>, common array<long>"), f"{root}/checked{level}")
+        checked = written(whole.select("a", "b", "star", "x", "y").mapInArrow(_checked(similarity), "a binary, b binary, n long, lacks long, linked boolean, own array<long>, common array<long>"), f"{root}/checked{level}")
         edges = checked.where("linked").select("a", "b")
         if labels is None or not edges.isEmpty():
             labels = written(components(spark, edges, labels, f"{root}/components{level}"), f"{root}/labels{level}")
@@ -248,14 +253,10 @@ def classified(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands
         lonely = again.where(~F.col("linked")).groupBy("a").agg(F.max(F.when(F.size("common") > 0, F.col("n"))).alias("longest"))
         left = again.join(lonely, "a")
         reach = (F.col("n") * F.lit(similarity) <= F.col("longest") + F.lit(1e-9)) & F.col("longest").isNotNull()
-        most = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1
-        owned = left.select("a", F.col("b").alias("node"), most.alias("most"), F.explode("own").alias("shingle"))
-        common = owned.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("c"))
-        rarest = Window.partitionBy("a", "node").orderBy("c", "shingle")
-        first = owned.join(common, ["a", "shingle"]).withColumn("place", F.row_number().over(rarest)).where((F.col("place") <= F.col("most")) & (F.col("c") > 1))
-        within = left.where(reach & (F.size("common") > 0)).select("a", F.col("b").alias("node"), F.explode("common").alias("shingle"))
-        dealt = first.select("a", "node", "shingle").unionByName(within).select(F.xxhash64("a", "shingle").alias("bucket"), "node")
-        several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("bucket")
+        prefix = F.posexplode(F.concat("own", F.when(reach, F.col("common")).otherwise(F.array().cast("array<long>")))).alias("place", "shingle")
+        brief = F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - F.lit(1e-9))
+        dealt = left.select("a", F.col("b").alias("node"), "n", F.col("lacks").alias("own"), prefix).select(F.xxhash64("a", "shingle").alias("bucket"), "node", "n", "own", brief.alias("brief"))
+        several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("brief").alias("any")).where((F.col("size") > 1) & F.col("any")).select("bucket")
         level += 1
         members = written(dealt.join(several, "bucket").distinct(), f"{root}/members{level}")
         if members.isEmpty():
