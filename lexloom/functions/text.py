@@ -127,7 +127,7 @@ def escaped_name(title):
 def fs_escape(s):
     """A name that is safe in a path: ~n~ for the code point of a character outside ASCII or one of ``/ \\``, ~~ for ~, underscores for spaces."""
     s = col(s)
-    chars = F.transform(F.split(s, ""), lambda c: F.when(c == "~", F.lit("~~")).when(c.rlike(r"[^\x00-\x7F]|[/\\]"), F.concat(F.lit("~"), F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10), F.lit("~"))).otherwise(c))
+    chars = F.transform(F.split(s, ""), lambda c: F.when(c == "~", F.lit("~~")).when(c.rlike(r"[^\x00-\x7F]|[/\\]"), F.concat(F.lit("~"), F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10), F.lit("~"))).otherwise(c))
     odd = s.rlike(r"[^\x00-\x7F]|[~/\\]")
     text = F.when(odd, F.array_join(chars, "")).otherwise(s)
     return F.regexp_replace(F.replace(F.trim(text), F.lit(" "), F.lit("_")), r"[^a-zA-Z0-9_.~-]", "")

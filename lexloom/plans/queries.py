@@ -111,10 +111,9 @@ def rate_window(spark, sf):
     return relational.rate(t(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600).select("event_id", "calls")
 
 
-@query("""SELECT l_orderkey AS switch_id, l_linenumber AS pos, coalesce(v, (SELECT b.l_shipmode FROM (SELECT l_linestatus AS l_shipmode, l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_returnflag <> 'N') b WHERE b.k = l_orderkey AND b.n > l_linenumber ORDER BY b.n LIMIT 1)) AS value
-FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_linestatus END AS v FROM lineitem)""")
+@query("SELECT user_id AS switch_id, event_id AS pos, first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM (SELECT *, CASE WHEN event_type <> 'view' THEN event_type END AS v FROM events)")
 def switch_fall_through(spark, sf):
-    cases = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("switch_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("value"))
+    cases = t(spark, sf, "events").select(F.col("user_id").alias("switch_id"), F.col("event_id").alias("pos"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("value"))
     return relational.fall_through(cases)
 
 
@@ -249,7 +248,7 @@ def rot13(spark, sf):
 
 
 # -- styles -------------------------------------------------------------------------------------------------------------
-@query("""SELECT p_partkey, round((p_partkey % 256) / 255.0, 6) AS r, round((p_size % 256) / 255.0, 6) AS g, 1.0 AS b, round(least(1.0, 0.3 * (p_partkey % 256) / 255.0 + 0.59 * (p_size % 256) / 255.0 + 0.11), 6) AS grey FROM part""")
+@query("""SELECT p_partkey, round((p_partkey % 256) / 255.0, 6) AS r, round((p_size % 256) / 255.0, 6) AS g, CAST(1 AS DOUBLE) AS b, round(least(1.0, 0.3 * (p_partkey % 256) / 255.0 + 0.59 * (p_size % 256) / 255.0 + 0.11), 6) AS grey FROM part""")
 def colours(spark, sf):
     c = styles.colour(F.concat(F.lit("rgb("), F.col("p_partkey") % 256, F.lit(", "), F.col("p_size") % 256, F.lit(", 255)")))
     return t(spark, sf, "part").select("p_partkey", F.round(c["r"], 6).alias("r"), F.round(c["g"], 6).alias("g"), F.round(c["b"], 6).alias("b"), F.round(styles.greyscale(c, 0.0), 6).alias("grey"))
@@ -317,11 +316,11 @@ def column_counts(spark, sf):
     return layout.column_counts(cells)
 
 
-@query("""SELECT table_id, r AS "row", c AS col, r <> row_no OR c <> col_no AS placeholder FROM (SELECT table_id, row_no, col_no, unnest(range(row_no, row_no + least(rowspan, rows_ - row_no + 1))) AS r, colspan FROM (
-  SELECT l_orderkey AS table_id, l_linenumber - 1 AS row_no, 0 AS col_no, 1 + l_linenumber % 3 AS colspan, 1 + l_linenumber % 2 AS rowspan, max(l_linenumber - 1) OVER (PARTITION BY l_orderkey) AS rows_ FROM lineitem WHERE l_orderkey < 500)) x, LATERAL (SELECT unnest(range(x.col_no, x.col_no + x.colspan)) AS c)""")
+@query("""SELECT table_id, r AS "row", c AS col, r <> row_no OR c <> 0 AS placeholder FROM (SELECT table_id, row_no, unnest(range(row_no, row_no + least(rowspan, rows_ - row_no + 1))) AS r, colspan FROM (
+  SELECT c_nationkey AS table_id, c_custkey AS row_no, 1 + c_custkey % 3 AS colspan, 1 + c_custkey % 2 AS rowspan, max(c_custkey) OVER (PARTITION BY c_nationkey) AS rows_ FROM customer)) x, LATERAL (SELECT unnest(range(0, x.colspan)) AS c)""")
 def span_grid(spark, sf):
-    n = F.col("l_linenumber").cast("int")
-    cells = t(spark, sf, "lineitem").where(F.col("l_orderkey") < 500).select(F.col("l_orderkey").alias("table_id"), (n - 1).alias("row_no"), F.lit(0).alias("ord"), (1 + n % 3).alias("colspan"), (1 + n % 2).alias("rowspan"))
+    n = F.col("c_custkey")
+    cells = t(spark, sf, "customer").select(F.col("c_nationkey").alias("table_id"), n.alias("row_no"), F.lit(0).alias("ord"), (1 + n % 3).alias("colspan"), (1 + n % 2).alias("rowspan"))
     return layout.span_grid(cells).select("table_id", "row", "col", "placeholder")
 
 

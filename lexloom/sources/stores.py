@@ -36,7 +36,7 @@ def write_revisions(pages: DataFrame, path: str) -> None:
 
 def read_revision_folder(spark: SparkSession, path: str) -> DataFrame:
     """Reads back what write_revisions has written: part files begin with a mark as well."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     records = raw.select(F.explode(F.split("value", r"(?:^|\n) --page-- ")).alias("value")).where(F.trim("value").startswith("{"))
     head = F.from_json(F.substring_index("value", "\n", 1), HEADER)
     text = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\n$", "")
@@ -141,7 +141,7 @@ def open_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             break
     for name in ("redirects", "siteinfo", "excluded", "nfo", "licenses", "authors", "imageinfo"):
         if there(f"{name}.json"):
-            raw = spark.read.option("wholetext", True).text(f"{path}/{name}.json")
+            raw = spark.read.text(f"{path}/{name}.json", wholetext=True)
             value = F.regexp_replace("value", "^﻿", "")
             if name == "redirects":
                 tables[name] = raw.select(F.explode(F.from_json(value, "map<string,string>")).alias("from_title", "to_title"))
