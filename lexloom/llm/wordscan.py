@@ -118,7 +118,7 @@ class HashIndex:
 
     def __init__(self, room: int = 1 << 12):
         self.n = 0
-        self._allocate(max(4, int(np.ceil(np.log2(2 * room)))))
+        self._allocate(max(4, int(np.ceil(np.log2(2 * max(room, 1))))))
 
     def _allocate(self, bits: int) -> None:
         self.bits = bits
