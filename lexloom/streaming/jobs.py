@@ -120,7 +120,7 @@ def stale_folders(files: DataFrame, now: float, max_age: float) -> DataFrame:
 # -- streaming -------------------------------------------------------------------------------------------------------
 def job_stream(log: DataFrame) -> DataFrame:
     """The same machine as keyed state over a stream of events: rows come out at each change of a job's state. ``event_time`` is in
-    seconds; timers stand for deadlines and the time to live, in processing time."""
+    seconds. Deadlines and the time to live are looked at when a job's next event comes (a ``tick`` will do); no timers are set."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Machine(StatefulProcessor):
