@@ -212,7 +212,16 @@ def switch_literal(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) * l_linenumber + 7 AS VARCHAR) AS product, CAST(CAST(l_quantity AS BIGINT) % 7 AS VARCHAR) AS rest, CASE WHEN l_quantity > 25 THEN '1' ELSE '0' END AS larger, CAST(l_linenumber * l_linenumber AS VARCHAR) AS power FROM lineitem WHERE l_orderkey <= 2000""")
 def expressions_evaluated(spark, sf):
-    li = t(spark, sf, "lineitem").where(F.col("l_orderkey") <= 2000)
+    return _evaluated(t(spark, sf, "lineitem").where(F.col("l_orderkey") <= 2000))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) * l_linenumber + 7 AS VARCHAR) AS product, CAST(CAST(l_quantity AS BIGINT) % 7 AS VARCHAR) AS rest, CASE WHEN l_quantity > 25 THEN '1' ELSE '0' END AS larger, CAST(l_linenumber * l_linenumber AS VARCHAR) AS power FROM lineitem""")
+def expressions_evaluated_all(spark, sf):
+    """The same over all of lineitem."""
+    return _evaluated(t(spark, sf, "lineitem"))
+
+
+def _evaluated(li):
     q, n = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string")
     make = lambda *p: expressions.expr_column(F.concat(*p))
     return li.select("l_orderkey", "l_linenumber", make(q, F.lit(" * "), n, F.lit(" + 7")).alias("product"), make(q, F.lit(" mod 7")).alias("rest"), make(q, F.lit(" > 25 and not 0")).alias("larger"), make(F.lit("-"), n, F.lit("^2")).alias("power"))
