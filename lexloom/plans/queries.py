@@ -147,9 +147,18 @@ def channel_stats(spark, sf):
 @query("SELECT CAST(event_id AS VARCHAR) AS jobid, CASE WHEN event_id % 3 = 0 THEN 'success' WHEN event_id % 3 = 1 THEN 'error' ELSE 'timeout' END AS state FROM events WHERE event_id < 200")
 def job_replay(spark, sf):
     """The queue's state machine over a log: a third of the jobs finishes in time, a third with an error, a third too late."""
+    return _replayed(t(spark, sf, "events").where(F.col("event_id") < 200))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS jobid, CASE WHEN event_id % 3 = 0 THEN 'success' WHEN event_id % 3 = 1 THEN 'error' ELSE 'timeout' END AS state FROM events")
+def job_replay_all(spark, sf):
+    """The same with every event as a job."""
+    return _replayed(t(spark, sf, "events"))
+
+
+def _replayed(e):
     from ..streaming import jobs
 
-    e = t(spark, sf, "events").where(F.col("event_id") < 200)
     k = F.col("event_id") % 3
     push = e.select(F.col("event_id").cast("string").alias("jobid"), F.lit(0.0).alias("event_time"), F.lit("push").alias("op"), F.lit(None).cast("string").alias("error"))
     finish = e.select(F.col("event_id").cast("string").alias("jobid"), F.when(k == 2, 500.0).otherwise(5.0).alias("event_time"), F.lit("finish").alias("op"), F.when(k == 1, F.lit("failed")).alias("error"))

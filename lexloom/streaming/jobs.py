@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,20 +72,33 @@ def step(job: Job, event: dict) -> None:
 
 
 STATES = "jobid string, channel string, priority int, state string, error string, info string"
+_STATES = pa.schema([("jobid", pa.string()), ("channel", pa.string()), ("priority", pa.int32()), ("state", pa.string()), ("error", pa.string()), ("info", pa.string())])
 
 
 def replay(log: DataFrame, until: float | None = None) -> DataFrame:
-    """The state of every job after a log (and up to a time, if given); a job's own events decide, so that jobs are replayed apart."""
+    """The state of every job after a log (and up to a time, if given); a job's own events decide, so that jobs are replayed apart.
+    The rows of a job come one after another, so that a task holds one job at a time, however many jobs and events there are."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        job = Job(str(frame["jobid"].iloc[0]))
-        for event in frame.sort_values("event_time", kind="stable").to_dict("records"):
-            step(job, {k: None if isinstance(v, float) and v != v else v for k, v in event.items()})
+    def shown(job: Job) -> dict:
         if until is not None:
             advance(job, until)
-        return pd.DataFrame([{"jobid": job.jobid, "channel": job.channel, "priority": job.priority, "state": job.state, "error": job.error, "info": job.info}])
+        return {"jobid": job.jobid, "channel": job.channel, "priority": job.priority, "state": job.state, "error": job.error, "info": job.info}
 
-    return log.groupBy("jobid").applyInPandas(one, STATES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job = None
+        for batch in batches:
+            out = []
+            for event in batch.to_pylist():
+                if job is None or str(event["jobid"]) != job.jobid:
+                    if job is not None:
+                        out.append(shown(job))
+                    job = Job(str(event["jobid"]))
+                step(job, {k: None if isinstance(v, float) and v != v else v for k, v in event.items()})
+            yield pa.RecordBatch.from_pylist(out, _STATES)
+        if job is not None:
+            yield pa.RecordBatch.from_pylist([shown(job)], _STATES)
+
+    return log.repartition("jobid").sortWithinPartitions("jobid", F.col("event_time").asc_nulls_last()).mapInArrow(run, STATES)
 
 
 def channel_stats(states: DataFrame) -> DataFrame:
