@@ -1,14 +1,15 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree. DataFrame operations only.
 
 A source's documents fall into at most ``BLOCKS`` blocks by a hash. A source takes whole passes over all its blocks, then
-whole blocks in a permuted order up to its target, then single documents of the next block, then of up to ``FILL`` documents
-drawn at random those that still fit. What a source takes is thus an exact number of block units. The units of all
+whole blocks in a permuted order, passing over those that no longer fit under its target, then single documents of the next blocks left, then of
+the other documents of these and of up to ``FILL`` drawn at random those that still fit. What a source takes is thus an exact number of block units. The units of all
 sources are dealt to the output shards by a binary tree: a node holds a number of units for each source, its left half gets as many as a multivariate
 hypergeometric draw without replacement says (inverse of the exact distribution, fed by hashes of seed, node and source), the
 right half gets the rest; shards end up with equal numbers of units. Each shard then takes its quota from the source's
 permuted units, so that shards are disjoint, and its rows are shuffled by a hash within the shard.
 
-Tables that describe blocks hold at most ``BLOCKS`` rows a source; windows run over these and over one block's documents.
+Tables that describe blocks hold at most ``BLOCKS`` rows a source; windows run over these and over the documents of the blocks that the
+single ones come from (as many as hold the words still wanted, mostly one).
 
 Defined results: rows with the same source and doc_id are one document; a null source is a source, last in order; a null text has
 size 0; sources without words get target 0; all draws are functions of seed, source and doc_id, so reruns agree.
@@ -94,22 +95,31 @@ class Mix:
         planned = targets(sources).withColumn("full", F.when(F.col("source_size") > 0, F.least(F.lit(CAP), F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(0)).cast("int"))
         planned = planned.withColumn("rest", F.when(F.col("full") >= CAP, F.lit(0.0)).otherwise(F.col("target") - F.col("full") * F.col("source_size")))
         self.sources = written(planned, f"{root}/sources")
-        order = Window.partitionBy(*_KEY).orderBy(F.xxhash64(F.lit(seed + 1), "src_", "block_"), "block_")
-        placed = block.join(self.sources.select(*_KEY, "full", "rest"), _KEY).withColumn("cum", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        placed = placed.withColumn("extra", (F.col("rest") > 0) & (F.col("cum") <= F.col("rest"))).withColumn("cut", (F.col("rest") > 0) & (F.col("cum") > F.col("rest")) & (F.col("cum") - F.col("words") < F.col("rest")))
+        # whole blocks in a permuted order; one that doesn't fit is passed over, so that the room left is less than any block left
+        rank = F.xxhash64(F.lit(seed + 1), "src_", "block_")
+        ranked = block.join(self.sources.select(*_KEY, "rest"), _KEY).where(F.col("rest") > 0).groupBy(*_KEY, "rest").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "block_", "words"))).alias("all"))
+        walk = F.expr("""aggregate(all, named_struct('room', rest, 'past', false, 'in', cast(array() as array<int>)), (a, b) -> if(b.words <= a.room and (b.words > 0 or not a.past),
+          named_struct('room', a.room - b.words, 'past', a.past, 'in', concat(a.in, array(b.block_))), named_struct('room', a.room, 'past', true, 'in', a.in)))""")
+        walked = written(ranked.select(*_KEY, walk.alias("w")).select(*_KEY, F.col("w.room").alias("left_"), F.col("w.past").alias("past"), F.col("w.in").alias("in")), f"{root}/walked")
+        extra = walked.select(*_KEY, F.explode("in").alias("block_")).withColumn("extra", F.lit(True))
+        placed = block.join(self.sources.select(*_KEY, "full", "rest"), _KEY).join(extra, [*_KEY, "block_"], "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
         placed = written(placed, f"{root}/placed")
-        # single documents of the cut block, in a permuted order, up to the target
-        cut = placed.where("cut").select(*_KEY, "block_", (F.col("rest") - (F.col("cum") - F.col("words"))).alias("left_"))
-        one = lambda frame: frame.groupBy(*_KEY, "doc_id", "block_").agg(F.sum("size").alias("size"))
-        within = Window.partitionBy(*_KEY, "block_").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        near = one(rows.join(cut.select(*_KEY, "block_"), [*_KEY, "block_"], "left_semi")).join(cut, [*_KEY, "block_"]).withColumn("cum", F.sum("size").over(within))
-        first = written(near.where(F.col("cum") <= F.col("left_")).select(*_KEY, "doc_id", "size"), f"{root}/first")
-        # then documents that still fit, larger ones first
+        # single documents that fit, of as many blocks left as hold the room's words, in a permuted order up to the target
+        cut = walked.where(F.col("past") & (F.col("left_") > 0)).select(*_KEY, "left_")
+        fits = rows.join(placed.where(~F.col("extra")).select(*_KEY, "block_"), [*_KEY, "block_"], "left_semi").groupBy(*_KEY, "doc_id", "block_").agg(F.sum("size").alias("size")).join(cut, _KEY)
+        fits = written(fits.where(F.col("size") <= F.col("left_")), f"{root}/fits")
+        before = Window.partitionBy(*_KEY).orderBy(rank, "block_").rowsBetween(Window.unboundedPreceding, -1)
+        chosen = fits.groupBy(*_KEY, "block_", "left_").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).where(F.col("before") < F.col("left_")).select(*_KEY, "block_")
+        chosen = written(chosen, f"{root}/chosen")
+        within = Window.partitionBy(*_KEY).orderBy(rank, "block_", F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        near = written(fits.join(chosen, [*_KEY, "block_"]).withColumn("cum", F.sum("size").over(within)), f"{root}/near")
+        first = near.where(F.col("cum") <= F.col("left_")).select(*_KEY, "doc_id", "size")
+        # then those of these blocks and a few of the others that still fit, larger ones first
         taken = first.groupBy(*_KEY).agg(F.sum("size").alias("taken_"))
-        gap = cut.select(*_KEY, "left_").join(taken, _KEY, "left").withColumn("gap_", F.col("left_") - F.coalesce("taken_", F.lit(0))).select(*_KEY, "gap_")
-        open_rows = one(rows.join(placed.where(~F.col("extra")).select(*_KEY, "block_"), [*_KEY, "block_"], "left_semi").join(gap, _KEY).where((F.col("size") > 0) & (F.col("size") <= F.col("gap_")))).join(first.select(*_KEY, "doc_id"), [*_KEY, "doc_id"], "left_anti")
-        some = open_rows.withColumn("n_", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id"))).where(F.col("n_") <= FILL)
-        fill = some.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("open")).join(gap, _KEY)
+        gap = cut.join(taken, _KEY, "left").withColumn("gap_", F.col("left_") - F.coalesce("taken_", F.lit(0))).select(*_KEY, "gap_")
+        still = lambda frame: frame.join(gap, _KEY).where((F.col("size") > 0) & (F.col("size") <= F.col("gap_"))).select(*_KEY, "size", "doc_id")
+        some = still(fits.join(chosen, [*_KEY, "block_"], "left_anti")).withColumn("n_", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id"))).where(F.col("n_") <= FILL).drop("n_")
+        fill = still(near.where(F.col("cum") > F.col("left_"))).unionByName(some).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("open")).join(gap, _KEY)
         fill = fill.select(*_KEY, F.explode(F.expr("aggregate(open, named_struct('room', gap_, 'in', slice(open, 1, 0)), (a, d) -> if(d.size <= a.room, named_struct('room', a.room - d.size, 'in', concat(a.in, array(d))), a), a -> a.in)")).alias("d"))
         singles = first.select(*_KEY, "doc_id").unionByName(fill.select(*_KEY, "d.doc_id"))
         # block units, and the shard of each
