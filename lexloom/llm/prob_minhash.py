@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import remove, slices, texts, written
 from .wordscan import mixed, powers, word_hashes
@@ -205,8 +206,8 @@ def components(spark: SparkSession, edges: DataFrame, labels: DataFrame | None,
             return now
 
 
-def classified(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id and n_shingles for every row of (doc_id, text)."""
+def _placed(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, node, n_shingles and group_ (the smallest node of the class) for every row of (doc_id, text); no group for a text without a word."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(docs.mapInArrow(_sketch(bands, rows), "doc_id long, node binary, n long, bands array<long>"), f"{root}/sketches")
@@ -261,12 +262,39 @@ def classified(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands
         members = written(dealt.join(several, "bucket").distinct(), f"{root}/members{level}")
         if members.isEmpty():
             break
-    placed = sketches.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").withColumn("group_", F.coalesce("label", "node"))
+    return sketches.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").withColumn("group_", F.coalesce("label", "node"))
+
+
+def classified(docs: DataFrame, root: str, **options) -> DataFrame:
+    """doc_id, class_id and n_shingles for every row of (doc_id, text)."""
+    placed = _placed(docs, root, **options)
     smallest = placed.where(F.col("group_").isNotNull()).groupBy("group_").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(smallest, "group_", "left").select("doc_id", F.when(F.col("group_").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_shingles")
 
 
+def _noded(at: int):
+    """The rows with the node of their text, column ``at``, behind them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000, "text", 2 << 20):
+            words, counts = word_hashes(texts(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes_of(words, counts), pa.binary())], [*batch.schema.names, "_lx_node"])
+
+    return run
+
+
 def kept(docs: DataFrame, root: str, **options) -> DataFrame:
-    """The rows of documents that are the smallest of their class, each doc_id once."""
-    keep = classified(docs, root, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lx_doc")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_lx_doc")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class: the smallest by doc_id (null last), node and hashes of the row. Every text without a word is kept.
+
+    Joined by node and doc_id, so that rows without a doc_id are dealt by their texts."""
+    key = ["_lx_node", "_lx_none", "_lx_id"]
+    number = F.col("doc_id").cast("long")
+    named = lambda frame: frame.withColumns({"_lx_none": number.isNull(), "_lx_id": F.coalesce(number, F.lit(0))})
+    placed = named(_placed(docs, root, **options).where(F.col("group_").isNotNull()).withColumnRenamed("node", "_lx_node"))
+    least = placed.groupBy("group_").agg(F.min(F.struct("_lx_none", "_lx_id", "_lx_node")).alias("least")).select("least.*")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    schema = StructType([*docs.schema.fields, StructField("_lx_node", BinaryType())])
+    noded = named(docs.where(worded).mapInArrow(_noded(docs.columns.index("text")), schema))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = noded.join(least, key).groupBy(*key).agg(F.min_by(own, F.struct(F.xxhash64("text"), F.xxhash64(own))).alias("row"))
+    return one.select("row.*").unionByName(docs.where(~worded))

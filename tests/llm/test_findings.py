@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexloom.llm import mixing
 from lexloom.llm.common import work_dir
 
@@ -15,3 +16,16 @@ def test_mixing_passes_over_long_documents(spark):
         taken = mixing.keyed(mix.applied(rows)).groupBy("src_").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
         for r in taken.join(mix.sources, "src_").collect():
             assert 0.99 * r.target <= r.taken <= r.target + 1, (seed, r)
+
+
+def test_near_duplicates_keep_a_row_of_each_class(spark):
+    """Rows without a doc_id, or with the same one, are classes by their texts; copies of them still go."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefgh"}
+    rows = [(None, text["a"], "en", "s", 1), (None, text["a"] + " tail", "en", "s", 2), (None, text["b"], "en", "s", 3), (None, text["c"], "de", "s", 4), (7, text["d"], "en", "s", 5), (7, text["e"], "en", "s", 6)]
+    rows += [(None, text["d"] + " tail", "en", "s", 7), (3, text["f"], "en", "s", 8), (2, text["f"].replace(" ", "  "), "en", "s", 9), (None, "", "en", "s", 10), (None, None, "en", "s", 11), (8, " ", "en", "s", 12), (8, None, "en", "s", 13)]
+    rows += [(None, text["g"], lang, "s", 14) for lang in ("en", "de")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, frame.repartition(n), "").collect())) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
+    assert len(got) == 11 and {3, 4, 5, 6, 9, 10, 11, 12, 13, 14} < {r.n_chars for r in got} and {r.n_chars for r in got} & {1, 2} and not {r.n_chars for r in got} & {7, 8}
