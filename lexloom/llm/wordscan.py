@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 from .common import SPACE
 
 PIECE = 1 << 20
+#: Runs longer than this are hashed by the library: sums of powers modulo 2^64 meet for some patterns of a thousand letters and more.
+LONG = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MARK = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)  # a random number for each byte
@@ -49,8 +52,11 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     if not len(starts):
         return np.zeros(0, np.uint64)
     local = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
-    value = _MARK[data] * powers(int(lengths.max()))[local]
-    return mixed(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
+    value = _MARK[data] * powers(LONG)[np.minimum(local, LONG - 1)]
+    out = mixed(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return out
 
 
 def pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[list[bytes], list[int]]]:
