@@ -4,20 +4,24 @@ A document is a weighted set of shingles of ``SHINGLE`` words (weight 1 + ln of
 its weight as rate: arrivals come at exponentially distributed times, each falls into a random slot, and a slot keeps the shingle that came
 first. Two signatures agree in a slot with the probability Jaccard similarity of the weighted sets. A shingle's process is
 cut off once its time is behind the latest first arrival of its document. Signatures are cut into bands; documents that share a band are
-candidates, and a candidate pair counts if the Jaccard similarity of the sets of distinct shingles is ``SIMILARITY`` or more.
+candidates, and a candidate pair counts if the Jaccard similarity of the sets of distinct shingles (64-bit hashes) is ``SIMILARITY`` or more.
 
-Equal word sequences are one text (a node) from the start, however many copies there are. No list of all pairs of a bucket is made. If
-all but a few nodes of a bucket (``FEW``) are in one component, these few are compared with the others; if not, every node is compared with one hub, the one with the most company. Two
-nodes of which one isn't similar to the hub can still be similar to each other. By the prefix rule of set joins they then share one of
-their first n - SIMILARITY n + 1 shingles, in any order that both are put in, and of the smaller one even n - 2 SIMILARITY / (1 + SIMILARITY) n + 1 do; with
-the shingles that the hub lacks put first, these are each node's own changes, which hardly anyone shares. So nodes are dealt into new buckets by hub and such a shingle, and the same is done with
-those that still hold nodes of different components, until there are none. (A node that lies within a longer hub has hub's shingles in its prefix as
-well; these count only for hubs with such a node, and only for nodes whose length can fit.) Each bucket loses its hub, so that this ends, and no
-link between components is lost. Components are found by label propagation over written tables.
+Equal word sequences are one text (a node) from the start, however many copies there are. No list of all pairs of a bucket is made:
+
+1. Every node of a bucket is compared with one hub, the node with the most company. Linked ones are one component.
+2. A bucket whose nodes are all in one component is done. In the others, a link can only run between two components, so only shingles held by
+   two components or more can be part of its overlap. A node x with fewer than SIMILARITY |x| of these has no link left and goes; copies edited each in
+   its own way go here, however many they are. That is done twice, as nodes that go make other shingles useless.
+3. What stays is a set join with prefixes: each node puts its useful shingles in the order of rarity (then hash), and two nodes can reach the overlap
+   that their sizes ask for only if they share one of the first of them, at places that leave both enough shingles behind it. A pair has to
+   lie in different components and to pass the bound at a shared shingle; at its first shared one a link always does. These
+   pairs are verified, and components that they link are joined.
+
+Steps 2 and 3 lose no link between candidates; links between nodes that share no band may be found on the way.
 
 Defined results: every row gets the smallest doc_id of its class; a text without a word is a class of its own; a text of fewer words than a
 shingle is a single shingle; rows with the same doc_id are judged by their texts; a null doc_id is never the smallest unless it is alone; an
-empty table gives an empty result.
+empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,18 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import remove, slices, texts, written
 from .wordscan import mixed, powers, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: A bucket whose nodes outside its largest component are no more than this many has them compared with all others directly; by level.
-FEW = (24, 128, 256, 1024)
-PACKED = 5  # bytes kept of a shingle's hash for verification
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,211 +91,185 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 def nodes_of(words: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     """A 16-byte key of each text's word sequence; None for texts without a word."""
-    full = np.flatnonzero(counts > 0)
-    if not len(full):
-        return [None] * len(counts)
-    start = (np.cumsum(counts) - counts)[full]
-    local = np.arange(len(words)) - np.repeat(start, counts[full])
-    scale = powers(int(counts.max()))[local]
-    key = np.stack([mixed(np.add.reduceat(words * scale, start)), mixed(np.add.reduceat(mixed(words) * scale, start) + counts[full].astype(np.uint64))], axis=1)
-    raw = key.astype(">u8").tobytes()
-    out: list[bytes | None] = [None] * len(counts)
-    for i, at in enumerate(full.tolist()):
-        out[at] = raw[16 * i : 16 * i + 16]
-    return out
+    ends = np.cumsum(counts).tolist()
+    return [xxhash.xxh3_128_digest(words[e - n : e]) if n else None for e, n in zip(ends, counts.tolist(), strict=True)]
 
 
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000, "text", 2 << 20):
-            words, counts = word_hashes(texts(batch.column(1)))
+            words, counts = word_hashes(texts(batch.column(2)))
             code, text, count = shingles(words, counts)
             key = band_keys(signatures(code, text, 1 + np.log(count), len(counts), bands * rows), bands, rows)
             key[counts == 0] = 0
             offsets = np.arange(0, (len(counts) + 1) * bands, bands, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes_of(words, counts), pa.binary()), pa.array(np.bincount(text, minlength=len(counts))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel().view(np.int64)))],
-                ["doc_id", "node", "n", "bands"],
+                [batch.column(0), batch.column(1), pa.array(nodes_of(words, counts), pa.binary()), pa.array(np.bincount(text, minlength=len(counts))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel().view(np.int64)))],
+                ["doc_id", "mark", "node", "n", "bands"],
             )
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, blob) of (node, text): the sorted distinct shingle hashes, 5 bytes each."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, is_hub, hubs, shingles) of (nid, is_hub, hubs, text): the sorted distinct shingles of each text."""
     for batch in slices(batches, 2000, "text", 2 << 20):
-        words, counts = word_hashes(texts(batch.column(1)))
+        words, counts = word_hashes(texts(batch.column(3)))
         code, text, _ = shingles(words, counts)
-        raw = np.ascontiguousarray(code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()
-        ends = np.cumsum(np.bincount(text, minlength=len(counts))).tolist()
-        own = nodes_of(words, counts)
-        wanted = batch.column(0).to_pylist()
-        keep = [i for i in range(len(counts)) if own[i] == wanted[i]]  # a repeated doc_id may have brought other texts
-        yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in keep], pa.binary()), pa.array([raw[PACKED * (ends[i - 1] if i else 0) : PACKED * ends[i]] for i in keep], pa.binary())], ["node", "blob"])
-
-
-def _set(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // PACKED, 8), np.uint8)
-    wide[:, 8 - PACKED :] = np.frombuffer(blob, np.uint8).reshape(-1, PACKED)
-    return wide.view(">u8").ravel().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(counts)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(code.view(np.int64)))], ["nid", "is_hub", "hubs", "shingles"])
 
 
-def compared(hub: np.ndarray, node: np.ndarray, similarity: float) -> tuple[bool, np.ndarray, np.ndarray, int]:
-    """Whether two sorted sets are similar, the node's prefix (its shingles that the hub lacks, and as many of the others as are left), and how many the hub lacks."""
-    at = np.searchsorted(hub, node)
-    inside = np.zeros(len(node), bool)
-    ok = at < len(hub)
-    inside[ok] = hub[at[ok]] == node[ok]
-    common = int(inside.sum())
-    linked = common >= similarity * (len(hub) + len(node) - common) - 1e-9
-    most = len(node) - int(np.ceil(similarity * len(node) - 1e-9)) + 1
-    own = node[~inside]
-    return linked, own[:most], node[inside][: max(0, most - len(own))], len(own)
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two arrays that are sorted as unsigned numbers."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(a) else 0
 
 
-def _checked(similarity: float):
-    """(a, b, n, lacks, linked, own, common) of (a, b, star, x, y): all pairs with a hub, and of the others those that are similar."""
+def _linked(similarity: float):
+    """(a, b) of (a, b, x, y) for the pairs whose sets x and y are similar enough; pairs with the same a stand together, mostly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.int64)
         for batch in batches:
-            keep, links, sizes, lacks = [], [], [], []
-            parts: tuple[list, list] = [], []
-            for i, (a, star, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
-                if a != last:
-                    last, held = a, _set(x)
-                node = _set(y)
-                linked, *prefix, lack = compared(held, node, similarity)
-                if star or linked:
-                    keep.append(i)
-                    links.append(linked)
-                    sizes.append(len(node))
-                    lacks.append(lack)
-                    for out, p in zip(parts, prefix, strict=True):
-                        out.append(p if star else p[:0])
-            rows = pa.array(keep, pa.int64())
-            lists = []
-            for out in parts:
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in out])]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes, pa.int64()), pa.array(lacks, pa.int64()), pa.array(links, pa.bool_()), *lists], ["a", "b", "n", "lacks", "linked", "own", "common"])
+            first, x, y = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+            xs, ys = (c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (x, y))
+            x_at, y_at = (np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in (x, y))
+            keep = np.zeros(batch.num_rows, bool)
+            last, held = None, xs[:0]
+            for i in range(batch.num_rows):
+                if first[i] != last:
+                    last, held = first[i], xs[x_at[i] : x_at[i + 1]]
+                other = ys[y_at[i] : y_at[i + 1]]
+                common = overlap(held, other)
+                keep[i] = common >= similarity * (len(held) + len(other) - common) - 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def components(spark: SparkSession, edges: DataFrame, labels: DataFrame | None, root: str) -> DataFrame:
-    """(node, label) with the smallest node of each component as label; starts from earlier labels if there are any."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    now = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
-    if labels is not None:
-        now = now.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        links = both.unionByName(labels.where(F.col("node") != F.col("label")).select("node", F.col("label").alias("other"))).unionByName(labels.where(F.col("node") != F.col("label")).select(F.col("label").alias("node"), F.col("node").alias("other")))
-        both = written(links.distinct(), f"{root}/links")
-    now = written(now, f"{root}/labels0")
+def components(edges: DataFrame, root: str) -> DataFrame:
+    """(node, label) of all nodes of (a, b), with the smallest node of the component as label: the least label of the neighbours and pointer jumping, in turns."""
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), f"{root}/links")
+    now = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), f"{root}/labels0")
     turn = 0
-    while True:
+    while True:  # ends: labels only fall, and a turn without a change is the last
         turn += 1
         seen = both.join(now.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        low = now.join(seen, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
+        low = now.join(seen, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = now.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = low.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
+        new = low.join(jump, "label").select("node", F.least("label", "further").alias("label"), "was")
         new = written(new, f"{root}/labels{turn}")
         changed = new.where(F.col("label") != F.col("was")).limit(1).count()
-        remove(spark, f"{root}/labels{turn - 1}")
+        remove(edges.sparkSession, f"{root}/labels{turn - 1}")
         now = new.select("node", "label")
         if not changed:
             return now
 
 
-def _placed(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node, n_shingles and group_ (the smallest node of the class) for every row of (doc_id, text); no group for a text without a word."""
-    spark = docs.sparkSession
+def _open(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
+    return members.join(several, "bucket", "left_semi")
+
+
+def _useful(live: DataFrame) -> DataFrame:
+    """(nid, shingle, holders) for each node's shingles that more than one component holds."""
+    each = live.select("nid", "label", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("holders")).where(F.col("lo") != F.col("hi"))
+    return each.select("nid", "shingle").join(shared.select("shingle", "holders"), "shingle")
+
+
+def _further(members: DataFrame, sets: DataFrame, root: str, similarity: float) -> DataFrame:
+    """(a, b) of components that a link joins, from the open (bucket, nid, label) and (nid, shingles): steps 2 and 3."""
+    live = written(sets.join(members.select("nid", "label").distinct(), "nid").select("nid", "label", F.size("shingles").alias("n"), "shingles"), f"{root}/live0")
+    count = _useful(live).groupBy("nid").agg(F.count(F.lit(1)).alias("useful"))
+    least = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9))
+    able = live.select("nid", "n").join(count, "nid").where(F.col("useful") >= least).select("nid")
+    members = _open(members.join(able, "nid", "left_semi"))
+    live = written(live.join(members.select("nid").distinct(), "nid", "left_semi"), f"{root}/live1")
+    remove(live.sparkSession, f"{root}/live0")
+
+    ordered = _useful(live).groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
+    ordered = ordered.join(live.select("nid", "label", "n"), "nid").withColumn("useful", F.size("order")).where(F.col("useful") >= least)
+    prefix = ordered.select("nid", "label", "n", "useful", F.posexplode(F.slice("order", F.lit(1), (F.col("useful") - least + 1).cast("int"))).alias("place", "entry"))
+    # room: the most that two nodes can share if this is their first common shingle
+    prefix = written(prefix.select("nid", "label", "n", (F.col("useful") - F.col("place")).alias("room"), F.col("entry.shingle").alias("shingle")), f"{root}/prefixes")
+    share = F.lit(similarity / (1 + similarity))
+    reach = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least_n"), F.max("room").alias("most")).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
+    asked = share * (F.col("n") + F.col("least_n")) - F.lit(1e-6)
+    tight = prefix.join(reach, "shingle").where((F.col("room") >= asked) & (F.col("most") >= asked)).select(F.col("shingle").alias("bucket"), "nid", "label", "n", "room")
+    tight = written(_open(tight), f"{root}/tight")
+    other = tight.select("bucket", F.col("nid").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("room").alias("b_room"))
+    fit = (F.col("nid") < F.col("b")) & (F.col("label") != F.col("b_label")) & (F.least("room", "b_room") >= share * (F.col("n") + F.col("b_n")) - F.lit(1e-6)) & (F.least("n", "b_n") >= F.lit(similarity) * F.greatest("n", "b_n") - F.lit(1e-6))
+    pairs = written(tight.join(other, "bucket").where(fit).select(F.col("nid").alias("a"), "b").distinct(), f"{root}/pairs")
+    whole = pairs.join(live.select(F.col("nid").alias("a"), F.col("shingles").alias("x")), "a").join(live.select(F.col("nid").alias("b"), F.col("shingles").alias("y")), "b")
+    links = whole.select("a", "b", "x", "y").mapInArrow(_linked(similarity), "a long, b long")
+    label = live.select("nid", "label")
+    named = links.join(label.select(F.col("nid").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("nid").alias("b"), F.col("label").alias("lb")), "b")
+    return named.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+
+
+_KEY = ["none", "id", "mark"]  # a document's row: whether it has no doc_id, the doc_id, a hash of the text
+
+
+def _keyed(docs: DataFrame, prefix: str = "") -> DataFrame:
+    number = F.col("doc_id").cast("long")
+    return docs.withColumns({f"{prefix}none": number.isNull(), f"{prefix}id": F.coalesce(number, F.lit(0).cast("long")), f"{prefix}mark": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+
+
+def _placed(docs: DataFrame, root: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """The sketches (doc_id, node, n) of all rows of (doc_id, text), and the nodes (node, group_, copies, least: the key of the first row that holds it)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = written(docs.mapInArrow(_sketch(bands, rows), "doc_id long, node binary, n long, bands array<long>"), f"{root}/sketches")
-    nodes = sketches.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes, f"{root}/nodes")
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    marked = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), "text")
+    sketches = written(marked.mapInArrow(_sketch(bands, rows), "doc_id long, mark long, node binary, n long, bands array<long>"), f"{root}/sketches")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "mark")
+    nodes = sketches.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), f"{root}/nodes")
+    entries = nodes.select("nid", F.xxhash64("node").alias("tie"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    # n and own: a node's shingles, and those that the bucket's hub lacks; in the first buckets there is no hub yet
-    members = written(entries.join(shared.select("bucket"), "bucket").withColumns({"n": F.lit(0).cast("long"), "own": F.lit(0).cast("long"), "brief": F.lit(True)}), f"{root}/members0")
-
-    needed = nodes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
-    found = docs.join(needed.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("node", "text")
-    # a repeated doc_id can bring the same text twice; a pair is then compared twice, which changes nothing
-    blobs = written(found.mapInArrow(_packed, "node binary, blob binary"), f"{root}/blobs")
-    sizes = nodes.select("node", "n")
-
-    labels: DataFrame | None = None
-    level = 0
-    while True:
-        state = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
-        open_ = groups.where(F.col("top.c") < F.col("size")).select("bucket", "size", F.col("top.label").alias("top"), (F.col("size") - F.col("top.c") <= FEW[min(level, len(FEW) - 1)]).alias("direct"))
-        state = written(state.join(open_, "bucket"), f"{root}/state{level}")
-        large = state.where(~F.col("direct"))
-        few = state.where(F.col("direct") & (F.col("label") != F.col("top"))).select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("own").alias("a_own"), F.col("brief").alias("a_brief"))
-        # what two nodes can share at most, inside and outside their hub, against what their similarity asks for
-        reachable = F.least(F.col("n") - F.col("own"), F.col("a_n") - F.col("a_own")) + F.least("own", "a_own") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("a_n")) - F.lit(1e-6)
-        smaller = F.when((F.col("n") < F.col("a_n")) | ((F.col("n") == F.col("a_n")) & (F.col("node") < F.col("a"))), F.col("brief")).otherwise(F.col("a_brief"))
-        met = few.join(state.where("direct").select("bucket", "node", "label", "n", "own", "brief"), "bucket").where((F.col("label") != F.col("a_label")) & reachable & smaller)
-        direct = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        fit = F.least("n", "a_n") >= F.lit(similarity) * F.greatest("n", "a_n") - F.lit(1e-9)
-        direct = direct.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").join(sizes.withColumnRenamed("node", "b"), "b").where(fit).select("a", "b", F.lit(False).alias("star"))
-        company = large.groupBy("node").agg(F.sum("size").alias("company"))
-        hubs = large.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("a"))
-        star = large.join(hubs, "bucket").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct().withColumn("star", F.lit(True))
-        pairs = direct.unionByName(star)
-        whole = pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b")
-        checked = written(whole.select("a", "b", "star", "x", "y").mapInArrow(_checked(similarity), "a binary, b binary, n long, lacks long, linked boolean, own array<long>, common array<long>"), f"{root}/checked{level}")
-        edges = checked.where("linked").select("a", "b")
-        if labels is None or not edges.isEmpty():
-            labels = written(components(spark, edges, labels, f"{root}/components{level}"), f"{root}/labels{level}")
-        again = checked.where(F.size("own") + F.size("common") > 0)
-        # only hubs with a node that isn't similar to them have anything left to find
-        lonely = again.where(~F.col("linked")).groupBy("a").agg(F.max(F.when(F.size("common") > 0, F.col("n"))).alias("longest"))
-        left = again.join(lonely, "a")
-        reach = (F.col("n") * F.lit(similarity) <= F.col("longest") + F.lit(1e-9)) & F.col("longest").isNotNull()
-        prefix = F.posexplode(F.concat("own", F.when(reach, F.col("common")).otherwise(F.array().cast("array<long>")))).alias("place", "shingle")
-        brief = F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - F.lit(1e-9))
-        dealt = left.select("a", F.col("b").alias("node"), "n", F.col("lacks").alias("own"), prefix).select(F.xxhash64("a", "shingle").alias("bucket"), "node", "n", "own", brief.alias("brief"))
-        several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("brief").alias("any")).where((F.col("size") > 1) & F.col("any")).select("bucket")
-        level += 1
-        members = written(dealt.join(several, "bucket").distinct(), f"{root}/members{level}")
-        if members.isEmpty():
-            break
-    return sketches.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").withColumn("group_", F.coalesce("label", "node"))
+    members = written(entries.join(shared, "bucket"), f"{root}/members")
+
+    company = members.groupBy("nid").agg(F.sum("size").alias("company"))
+    hubs = members.join(company, "nid").groupBy("bucket").agg(F.max(F.struct("company", "tie", "nid"))["nid"].alias("hub"))
+    star = written(members.join(hubs, "bucket").select("hub", "nid").distinct(), f"{root}/star")  # a hub is its own spoke as well
+    spokes = star.groupBy("nid").agg(F.collect_list(F.when(F.col("hub") != F.col("nid"), F.col("hub"))).alias("hubs"), F.max(F.col("hub") == F.col("nid")).alias("is_hub"))  # at most one hub a band
+    needed = nodes.select("nid", "least.*").join(spokes, "nid")
+    whole = _keyed(docs).groupBy(*_KEY).agg(F.first("text").alias("text"))  # repeated rows once
+    sets = written(whole.join(needed, _KEY).select("nid", "is_hub", "hubs", "text").mapInArrow(_sets, "nid long, is_hub boolean, hubs array<long>, shingles array<long>"), f"{root}/sets")
+    centres = sets.where("is_hub").select(F.col("nid").alias("a"), F.col("shingles").alias("x"))
+    pairs = sets.select(F.explode("hubs").alias("a"), F.col("nid").alias("b"), F.col("shingles").alias("y")).join(centres, "a")
+    fit = F.least(F.size("x"), F.size("y")) >= F.lit(similarity) * F.greatest(F.size("x"), F.size("y")) - F.lit(1e-6)
+    edges = pairs.where(fit).select("a", "b", "x", "y").mapInArrow(_linked(similarity), "a long, b long")
+    labels = written(components(edges, f"{root}/components").withColumnRenamed("node", "nid"), f"{root}/labels")
+
+    state = members.select("bucket", "nid").join(labels, "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label"))
+    still = written(_open(state), f"{root}/open")
+    joined = components(_further(still, sets.select("nid", "shingles"), f"{root}/further", similarity), f"{root}/joined")
+    group = F.coalesce("label", "nid")
+    placed = nodes.select("nid", "node", "least", "copies").join(labels, "nid", "left").withColumn("own", group).drop("label")
+    placed = placed.join(joined.withColumnRenamed("node", "own"), "own", "left").select("node", "least", "copies", F.coalesce("label", "own").alias("group_"))
+    return sketches.select("doc_id", "node", "n"), placed
 
 
 def classified(docs: DataFrame, root: str, **options) -> DataFrame:
-    """doc_id, class_id and n_shingles for every row of (doc_id, text)."""
-    placed = _placed(docs, root, **options)
-    smallest = placed.where(F.col("group_").isNotNull()).groupBy("group_").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(smallest, "group_", "left").select("doc_id", F.when(F.col("group_").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_shingles")
-
-
-def _noded(at: int):
-    """The rows with the node of their text, column ``at``, behind them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000, "text", 2 << 20):
-            words, counts = word_hashes(texts(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes_of(words, counts), pa.binary())], [*batch.schema.names, "_lx_node"])
-
-    return run
+    """doc_id, class_id, class_size and n_shingles for every row of (doc_id, text)."""
+    sketches, nodes = _placed(docs, root, **options)
+    first = F.min(F.when(~F.col("least.none"), F.col("least.id")))
+    classes = nodes.groupBy("group_").agg(first.alias("class_id"), F.sum("copies").alias("class_size"))
+    named = nodes.select("node", "group_").join(classes, "group_").select("node", "class_id", "class_size")
+    own = F.col("node").isNull()
+    return sketches.join(named, "node", "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), F.col("n").alias("n_shingles"))
 
 
 def kept(docs: DataFrame, root: str, **options) -> DataFrame:
-    """One row of each class: the smallest by doc_id (null last), node and hashes of the row. Every text without a word is kept.
+    """One row of each class: the first by doc_id (null last), then hashes of text and row. Every text without a word is kept.
 
-    Joined by node and doc_id, so that rows without a doc_id are dealt by their texts."""
-    key = ["_lx_node", "_lx_none", "_lx_id"]
-    number = F.col("doc_id").cast("long")
-    named = lambda frame: frame.withColumns({"_lx_none": number.isNull(), "_lx_id": F.coalesce(number, F.lit(0))})
-    placed = named(_placed(docs, root, **options).where(F.col("group_").isNotNull()).withColumnRenamed("node", "_lx_node"))
-    least = placed.groupBy("group_").agg(F.min(F.struct("_lx_none", "_lx_id", "_lx_node")).alias("least")).select("least.*")
+    Rows meet their classes by doc_id and text, so that rows without a doc_id, and rows with the same one, are told apart by their texts."""
+    key = [f"_lx_{c}" for c in _KEY]
+    _, nodes = _placed(docs, root, **options)
+    least = nodes.groupBy("group_").agg(F.min("least").alias("least")).select(*[F.col(f"least.{c}").alias(k) for c, k in zip(_KEY, key, strict=True)])
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    schema = StructType([*docs.schema.fields, StructField("_lx_node", BinaryType())])
-    noded = named(docs.where(worded).mapInArrow(_noded(docs.columns.index("text")), schema))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = noded.join(least, key).groupBy(*key).agg(F.min_by(own, F.struct(F.xxhash64("text"), F.xxhash64(own))).alias("row"))
+    one = _keyed(docs.where(worded), "_lx_").join(least, key).groupBy(*key).agg(F.min_by(own, F.xxhash64(own)).alias("row"))
     return one.select("row.*").unionByName(docs.where(~worded))
