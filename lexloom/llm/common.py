@@ -19,11 +19,13 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only a session without one (tests) gets its own."""
+    """The folder in ``spark.checkpoint.dir``; only a local session without one (tests) gets its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else "file://" + found
@@ -47,6 +49,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def newest(spark: SparkSession, folder: str, prefix: str) -> str | None:
+    """The last finished table of a folder whose name starts with a prefix, by name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return max((f.getPath().getParent().toString() for f in found), default=None)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system for a URI, and the path in it; ``file:/x`` is understood as well."""
     if uri.startswith("file:") and not uri.startswith("file://"):

@@ -1,20 +1,22 @@
 """Reversible line deduplication: sharded cuckoo filters over exact reference-count tables.
 
-State of an index, all of it tables below one folder:
+An index is a folder of tables that are only ever added to, and a manifest that names them, newest last:
 
-* ``postings`` (doc_id, hi, lo): one row for each distinct line key of a document row, the exact references;
-* ``refs`` (hi, lo, refs, least, most, nulls): per key the number of references and the smallest and largest
-  document that holds it, derived from the postings with map-side partial sums;
-* ``filters`` (shard, kind, n, table): a cuckoo filter for each shard of the key space, ``live`` over all keys
-  and ``shared`` over those that more than one document holds.
+* ``postings`` (doc_id, mark, hi, lo): for each document row its distinct line keys, the exact references; mark is a hash of the text;
+* ``gone`` (doc_id): documents taken out of all postings before it;
+* ``refs`` (hi, lo, refs, least, most, nulls): the new values of the keys that a change touched: the number of references, the smallest and
+  largest document that holds the key, and references without a doc_id; the newest value counts, a key with 0 references is no more;
+* ``filters`` (shard, n, room, table): the cuckoo filters that a change touched, one for each shard of the key space.
 
-Inserting documents probes the live filters: keys that they don't know are appended unread, only the others meet the
-exact table. Deleting documents takes their postings out, recounts exactly the keys that they held, and takes
+Inserting documents probes the filters of their keys' shards, shard by shard and at any size: keys that a filter doesn't know are new, only the others meet the
+exact table; the new keys are then put into the same filters. Deleting documents recounts exactly the keys that they held, and takes
 the fingerprints of vanished keys out of the filters. So an insertion followed by the deletion of the same documents
-gives back the same state. A filter only ever spares work; the exact table decides.
+gives back the same state. A filter only ever spares work; the exact table decides. The manifest is written last, so that a change
+that was broken off leaves the index as it was; :meth:`LineIndex.open` finds it again from any session.
 
-Defined results: a null or empty text is one empty line; rows with the same doc_id are one document; a
-null doc_id is a document of its own that comes after all others; an empty table gives an empty result.
+Defined results: a null or empty text is one empty line; rows with the same doc_id are one document, and so are all rows without one, which come after all
+others; a row that an earlier insertion brought is passed over; an empty table gives an empty result; a document's own
+columns stay as they are, results have the prefix ``_lx_``.
 """
 
 from __future__ import annotations
@@ -27,13 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACE, remove, slices, texts, written
+from .common import SPACE, newest, slices, texts, written
 
-#: Distinct keys that a filter shard is built for (memory of one build task: about 30 MB).
+#: Distinct keys that a filter shard is laid out for (a task holds one shard's filter and keys: about 30 MB); with twice as many on average the key space is cut anew.
 KEYS_PER_SHARD = 1 << 18
-#: Filters are broadcast up to this many bytes in all; beyond it the exact join works without them.
-FILTER_BROADCAST_BYTES = 32 << 20
 
 
 class CuckooFilter:
@@ -107,8 +108,9 @@ class CuckooFilter:
             mark, a, b = mark[rest], a[rest], b[rest]
 
 
-def build_filter(lo: np.ndarray) -> CuckooFilter:
-    keys = len(lo)
+def build_filter(lo: np.ndarray, room: int = 0) -> CuckooFilter:
+    """A filter of these keys with room for as many as named."""
+    keys = max(len(lo), room)
     while True:
         made = CuckooFilter.sized(keys)
         if made.insert(lo):
@@ -132,21 +134,25 @@ _HALF = np.dtype(">i8")
 def _references(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000, "text"):
-            ids = batch.column(0)
             rows, keys = [], []
-            for i, text in enumerate(texts(batch.column(1))):
+            for i, text in enumerate(texts(batch.column(2))):
                 own = set(line_keys(text, min_chars))
                 own.discard(None)
                 rows += [i] * len(own)
                 keys += own
             halves = np.frombuffer(b"".join(keys), _HALF).reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "hi", "lo"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "mark", "hi", "lo"])
 
     return run
 
 
+def _mark():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def references(docs: DataFrame, min_chars: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_references(min_chars), "doc_id long, hi long, lo long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text").mapInArrow(_references(min_chars), _SCHEMAS["postings"])
 
 
 def counted(postings: DataFrame) -> DataFrame:
@@ -155,146 +161,219 @@ def counted(postings: DataFrame) -> DataFrame:
 
 def _is_shared():
     """More than one document holds the key: two different ids, or an id and a null id."""
-    return (F.col("least") != F.col("most")) | ((F.col("nulls") > 0) & F.col("least").isNotNull())
+    return F.coalesce((F.col("least") != F.col("most")) | (F.col("nulls") > 0), F.lit(False)) & F.col("least").isNotNull()
+
+
+_SCHEMAS = {
+    "postings": "doc_id long, mark long, hi long, lo long",
+    "gone": "doc_id long",
+    "refs": "hi long, lo long, refs long, least long, most long, nulls long, fresh boolean, dead boolean",
+    "filters": "shard long, n long, room long, table binary",
+}
+_VALUES = ["refs", "least", "most", "nulls"]
 
 
 class LineIndex:
     def __init__(self, spark: SparkSession, root: str, min_chars: int = 10):
-        self.spark, self.root, self.min_chars, self.version = spark, root, min_chars, 0
-        self.postings = spark.createDataFrame([], "doc_id long, hi long, lo long")
-        self.refs = counted(self.postings)
-        self.filters = spark.createDataFrame([], "shard long, kind string, n long, table binary")
-        self.bits = 0
+        """A new index in a folder; nothing is written before the first change."""
+        self.spark, self.root, self.min_chars, self.version, self.bits = spark, root, min_chars, 0, 0
+        self.parts: list[tuple[int, str]] = []  # (version, kind), oldest first
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> LineIndex:
+        """The index of a folder as its last finished change left it."""
+        found = newest(spark, root, "manifest-")
+        if found is None:
+            raise FileNotFoundError(f"{root} holds no index")
+        made = cls(spark, root)
+        rows = spark.read.parquet(found).collect()
+        made.version, made.min_chars, made.bits = rows[0]["version"], rows[0]["min_chars"], rows[0]["bits"]
+        made.parts = sorted((r["part"], r["kind"]) for r in rows)
+        return made
+
+    # -- tables ----------------------------------------------------------------------------------------------
+    def _path(self, version: int, kind: str) -> str:
+        return f"{self.root}/{version:06d}-{kind}"
+
+    def _put(self, kind: str, rows: DataFrame) -> DataFrame:
+        self.parts.append((self.version, kind))
+        return written(rows, self._path(self.version, kind))
+
+    def _read(self, kind: str) -> list[tuple[int, DataFrame]]:
+        return [(v, self.spark.read.schema(_SCHEMAS[kind]).parquet(self._path(v, kind))) for v, k in self.parts if k == kind]
+
+    def _finish(self) -> LineIndex:
+        rows = [(self.version, self.min_chars, self.bits, v, k) for v, k in self.parts]
+        self.spark.createDataFrame(rows, "version int, min_chars int, bits int, part int, kind string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest-{self.version:06d}")
+        return self
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, mark, hi, lo) of all documents that are in the index."""
+        now = self.spark.createDataFrame([], _SCHEMAS["postings"])
+        gone = dict(self._read("gone"))
+        for v, part in sorted([*self._read("postings"), *gone.items()], key=lambda x: x[0]):
+            now = now.join(part.withColumnRenamed("doc_id", "out"), F.col("doc_id").eqNullSafe(F.col("out")), "left_anti") if v in gone else now.unionByName(part)
+        return now
+
+    @property
+    def refs(self) -> DataFrame:
+        """(hi, lo, refs, least, most, nulls) of all keys."""
+        parts = self._read("refs")
+        if len(parts) < 2:
+            return (parts[0][1] if parts else self.spark.createDataFrame([], _SCHEMAS["refs"])).where("refs > 0").select("hi", "lo", *_VALUES)
+        every = None
+        for v, part in parts:
+            part = part.select("hi", "lo", F.struct(F.lit(v).alias("version"), *_VALUES).alias("value"))
+            every = part if every is None else every.unionByName(part)
+        return every.groupBy("hi", "lo").agg(F.max("value").alias("value")).where("value.refs > 0").select("hi", "lo", *[F.col(f"value.{c}") for c in _VALUES])
+
+    @property
+    def filters(self) -> DataFrame:
+        """(shard, n, room, table): each shard's newest filter."""
+        parts = self._read("filters")
+        if not parts:
+            return self.spark.createDataFrame([], _SCHEMAS["filters"])
+        every = None
+        for v, part in parts:
+            part = part.withColumn("version", F.lit(v))
+            every = part if every is None else every.unionByName(part)
+        last = every.groupBy("shard").agg(F.max("version").alias("version"))
+        return every.join(last, ["shard", "version"]).drop("version")
 
     # -- filters ---------------------------------------------------------------------------------------------
     def _shard(self):
         return F.shiftrightunsigned("hi", 64 - self.bits) if self.bits else F.lit(0).cast("long")
 
-    def _built(self) -> DataFrame:
-        keys = self.refs.count()
-        self.bits = max(0, int(np.ceil(np.log2(max(1, keys / KEYS_PER_SHARD)))))
-
-        def build(key, group):
-            lo, shared = group["lo"].to_numpy(), group["shared"].to_numpy()
-            made = [("live", lo), ("shared", lo[shared])]
-            return pa.table({"shard": pa.array([key[0].as_py()] * 2, pa.int64()), "kind": [k for k, _ in made], "n": pa.array([len(x) for _, x in made], pa.int64()), "table": pa.array([build_filter(x).dump() for _, x in made], pa.binary())})
-
-        keyed = self.refs.select(self._shard().alias("shard"), "lo", _is_shared().alias("shared"))
-        return keyed.groupBy("shard").applyInArrow(build, "shard long, kind string, n long, table binary")
-
-    def probed(self, keys: DataFrame, kind: str) -> DataFrame:
-        """Rows whose (hi, lo) the filters of a kind may hold; all rows where the filters are too large to broadcast."""
-        mine = self.filters.where(F.col("kind") == kind)
-        if (mine.agg(F.sum(F.length("table"))).first()[0] or 0) > FILTER_BROADCAST_BYTES:
-            return keys
-        tables = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["table"]) for r in mine.select("shard", "table").collect()})
-        bits = self.bits
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made = {k: CuckooFilter.load(v) for k, v in tables.value.items()}
-            for batch in batches:
-                hi, lo = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("hi", "lo"))
-                shard = (hi.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hi), np.int64)
-                keep = np.zeros(len(hi), bool)
-                for s in np.unique(shard):
-                    if s in made:
-                        own = shard == s
-                        keep[own] = made[s].contains(lo[own])
-                yield batch.filter(pa.array(keep))
-
-        return keys.mapInArrow(probe, keys.schema)
-
-    def _commit(self, postings: DataFrame, refs: DataFrame, filters: DataFrame | None = None) -> None:
-        before = f"{self.root}/v{self.version}"
-        self.version += 1
-        now = f"{self.root}/v{self.version}"
-        self.postings = written(postings, f"{now}/postings")
-        self.refs = written(refs, f"{now}/refs")
-        self.filters = written(filters if filters is not None else self._built(), f"{now}/filters")
-        if self.version > 1:
-            remove(self.spark, before)
+    def probed(self, keys: DataFrame) -> DataFrame:
+        """The rows of distinct (hi, lo) that the filters may hold."""
+        schema = StructType(list(keys.schema.fields))
+        names = keys.columns
+
+        def probe(rows: pa.Table, filters: pa.Table) -> pa.Table:
+            if not filters.num_rows:
+                return rows.select(names).slice(0, 0)
+            made = CuckooFilter.load(filters["table"][0].as_py())
+            return rows.select(names).filter(pa.array(made.contains(rows["lo"].to_numpy())))
+
+        return keys.withColumn("_lx_shard", self._shard()).groupBy("_lx_shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, schema)
+
+    def _changed(self, keys: DataFrame, remove: bool) -> DataFrame:
+        """The filters of the shards of (hi, lo) with these keys put in or taken out; a filter without room is built anew from the exact table."""
+
+        def change(rows: pa.Table, filters: pa.Table) -> pa.Table:
+            lo = rows["lo"].to_numpy()
+            n = filters["n"][0].as_py() if filters.num_rows else 0
+            if not len(lo):
+                return filters.slice(0, 0)
+            shard = rows["_lx_shard"][0].as_py()
+            if remove:
+                made, room = CuckooFilter.load(filters["table"][0].as_py()), filters["room"][0].as_py()
+                made.delete(lo)
+                return pa.table({"shard": [shard], "n": [n - len(lo)], "room": [room], "table": pa.array([made.dump()], pa.binary())})
+            room = filters["room"][0].as_py() if filters.num_rows else max(2 * len(lo), 1024)
+            blob = None
+            if not filters.num_rows:
+                blob = build_filter(lo, room).dump()
+            elif n + len(lo) <= room:
+                made = CuckooFilter.load(filters["table"][0].as_py())
+                blob = made.dump() if made.insert(lo) else None
+            return pa.table({"shard": [shard], "n": [n + len(lo)], "room": [room], "table": pa.array([blob], pa.binary())})
+
+        keyed = keys.select(self._shard().alias("_lx_shard"), "lo")
+        made = written(keyed.groupBy("_lx_shard").cogroup(self.filters.groupBy("shard")).applyInArrow(change, _SCHEMAS["filters"]), f"{self.root}/{self.version:06d}-tried")
+        full = made.where(F.col("table").isNull()).select("shard")
+        return made.where(F.col("table").isNotNull()).unionByName(self._built(self.refs.withColumn("shard", self._shard()).join(full, "shard", "left_semi")))
+
+    def _built(self, keys: DataFrame) -> DataFrame:
+        """Filters of all the keys of (shard, lo), with room for as many again."""
+
+        def build(key: tuple, group: pa.Table) -> pa.Table:
+            lo = group["lo"].to_numpy()
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": [len(lo)], "room": [2 * len(lo)], "table": pa.array([build_filter(lo, 2 * len(lo)).dump()], pa.binary())})
+
+        return keys.select("shard", "lo").groupBy("shard").applyInArrow(build, _SCHEMAS["filters"])
 
     # -- changes ---------------------------------------------------------------------------------------------
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = references(docs, self.min_chars)
-        if not self.version:
-            self.version = 1
-            now = f"{self.root}/v1"
-            self.postings = written(new, f"{now}/postings")
-            self.refs = written(counted(self.postings), f"{now}/refs")
-            self.filters = written(self._built(), f"{now}/filters")
-            return self
-        staged = written(new, f"{self.root}/staged")
-        counts = counted(staged)
-        maybe = self.probed(counts, "live").select("hi", "lo")
-        known = self.refs.join(maybe, ["hi", "lo"], "left_semi")  # only these meet the exact table
-        merged = known.unionByName(counts).groupBy("hi", "lo").agg(F.sum("refs").alias("refs"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("nulls").alias("nulls"))
-        refs = self.refs.join(maybe, ["hi", "lo"], "left_anti").unionByName(merged)
-        self._commit(self.postings.unionByName(staged), refs)
-        remove(self.spark, f"{self.root}/staged")
-        return self
+        """Adds documents: (doc_id, text)."""
+        new, old, first = references(docs, self.min_chars), self.postings, not self.version
+        known, filters = self.refs, len(self._read("filters"))
+        self.version += 1
+        if not first:
+            there = old.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
+            new = new.join(there, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_anti")
+        counts = counted(self._put("postings", new)).select("hi", "lo", *_VALUES, F.lit(False).alias("was"))
+        if first:
+            merged = counts
+        else:
+            counts = written(counts, f"{self.root}/{self.version:06d}-counts")
+            maybe = self.probed(counts.select("hi", "lo"))  # only these meet the exact table
+            merged = known.join(maybe, ["hi", "lo"], "left_semi").withColumn("was", F.lit(True)).unionByName(counts)
+            merged = merged.groupBy("hi", "lo").agg(F.sum("refs").alias("refs"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("nulls").alias("nulls"), F.max("was").alias("was"))
+        part = self._put("refs", merged.select("hi", "lo", *_VALUES, (~F.col("was")).alias("fresh"), F.lit(False).alias("dead")))
+        keys = (part if first else self.refs).count()
+        bits = max(0, int(np.ceil(np.log2(max(1, keys / KEYS_PER_SHARD)))))
+        if not filters or bits > self.bits + 1:  # many more keys than shards are laid out for
+            self.bits = bits
+            self.parts = [p for p in self.parts if p[1] != "filters"]
+            self._put("filters", self._built(self.refs.select(self._shard().alias("shard"), "lo")))
+        else:
+            changed = self._changed(part.where("fresh"), remove=False)
+            self._put("filters", changed)
+        return self._finish()
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes documents (a table with doc_id) out again; keys and counts are then as if they had never come."""
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
-        match = F.col("doc_id").eqNullSafe(F.col("gone"))
-        touched = self.postings.join(gone, match, "left_semi").select("hi", "lo").distinct()
-        left = self.postings.join(gone, match, "left_anti")
-        again = counted(left.join(touched, ["hi", "lo"], "left_semi"))
-        refs = self.refs.join(touched, ["hi", "lo"], "left_anti").unionByName(again)
-        dead = touched.join(again, ["hi", "lo"], "left_anti").select(self._shard().alias("shard"), "lo", F.lit("live").alias("kind"))
-        unshared = self.refs.where(_is_shared()).join(touched, ["hi", "lo"], "left_semi").join(again.where(_is_shared()), ["hi", "lo"], "left_anti")
-        out = dead.unionByName(unshared.select(self._shard().alias("shard"), "lo", F.lit("shared").alias("kind")))
-
-        def take_out(key, filters, keys):
-            if not filters.num_rows:
-                return filters
-            made = CuckooFilter.load(filters["table"][0].as_py())
-            made.delete(keys["lo"].to_numpy())
-            return pa.table({"shard": filters["shard"], "kind": filters["kind"], "n": pa.array([filters["n"][0].as_py() - keys.num_rows], pa.int64()), "table": pa.array([made.dump()], pa.binary())})
-
-        filters = self.filters.groupBy("shard", "kind").cogroup(out.groupBy("shard", "kind")).applyInArrow(take_out, "shard long, kind string, n long, table binary")
-        self._commit(left, refs, filters)
-        return self
+        before, known = self.postings, self.refs
+        self.version += 1
+        gone = self._put("gone", doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "out")
+        match = F.col("doc_id").eqNullSafe(F.col("out"))
+        touched = before.join(gone, match, "left_semi").select("hi", "lo").distinct().join(known.select("hi", "lo"), ["hi", "lo"], "left_semi")
+        again = counted(before.join(gone, match, "left_anti").join(touched, ["hi", "lo"], "left_semi"))
+        now = touched.join(again, ["hi", "lo"], "left").withColumns({"dead": F.col("refs").isNull(), "refs": F.coalesce("refs", F.lit(0).cast("long")), "nulls": F.coalesce("nulls", F.lit(0).cast("long")), "fresh": F.lit(False)})
+        part = self._put("refs", now.select("hi", "lo", *_VALUES, "fresh", "dead"))
+        self._put("filters", self._changed(part.where("dead"), remove=True))
+        return self._finish()
 
     # -- decisions -------------------------------------------------------------------------------------------
     def drops(self) -> DataFrame:
-        """Per document the keys whose lines it loses: shared keys of which it isn't the smallest holder."""
+        """(doc_id, mark, lost): for each text the keys whose lines it loses: shared keys of which its document isn't the smallest holder."""
         shared = self.refs.where(_is_shared()).select("hi", "lo", "least")
-        lost = self.probed(self.postings, "shared").join(shared, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("least")))
-        return lost.groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("lost"))
+        lost = self.postings.join(shared, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("least")))
+        return lost.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """The rows of indexed documents with kept_text, n_lines, n_dropped and kept_sha256 behind their own columns."""
-        drops = self.drops().select(F.col("doc_id").alias("_lx_doc"), F.col("lost").alias("_lx_lost"))
-        joined = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(F.col("_lx_doc")), "left").drop("_lx_doc")
-        made = [("kept_text", pa.string(), "string"), ("n_lines", pa.int64(), "long"), ("n_dropped", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
-        own = [f for f in docs.schema.fields if f.name not in {n for n, _, _ in made}]
-        joined = joined.select(*[F.col(f"`{f.name}`") for f in own], *([] if "text" in [f.name for f in own] else ["text"]), "_lx_lost")
-        min_chars = self.min_chars
-        names = [f.name for f in own]
+        """The rows of indexed documents with _lx_text, _lx_lines, _lx_dropped and _lx_sha256 behind their own columns."""
+        drops = self.drops().select(F.col("doc_id").alias("_lx_doc"), F.col("mark").alias("_lx_mark"), F.col("lost").alias("_lx_lost"))
+        match = docs["doc_id"].cast("long").eqNullSafe(F.col("_lx_doc")) & (_mark() == F.col("_lx_mark"))
+        joined = docs.join(drops, match, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_lx_lost")
+        min_chars, at = self.min_chars, docs.columns.index("text")
+        made = ["_lx_text", "_lx_lines", "_lx_dropped", "_lx_sha256"]
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1000, "text"):
-                out: list[list] = [[], [], [], []]
-                lost = batch.column(batch.schema.get_field_index("_lx_lost")).to_pylist()
-                for text, gone in zip(texts(batch.column(batch.schema.get_field_index("text"))), lost, strict=True):
-                    lines = text.split(b"\n")
-                    kept = text
-                    n = 0
+                kept_, lines_, dropped, digest = [], [], [], []
+                for text, gone in zip(texts(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    lines, kept, n = text.split(b"\n"), text, 0
                     if gone:
                         dead = {g["hi"].to_bytes(8, "big", signed=True) + g["lo"].to_bytes(8, "big", signed=True) for g in gone}
                         stay = [line for line, key in zip(lines, line_keys(text, min_chars), strict=True) if key not in dead]
-                        n = len(lines) - len(stay)
-                        kept = b"\n".join(stay)
-                    out[0].append(kept.decode("utf-8", "replace"))
-                    out[1].append(len(lines))
-                    out[2].append(n)
-                    out[3].append(hashlib.sha256(kept).hexdigest())
-                arrays = [batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array(x, t) for x, (_, t, _) in zip(out, made, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names + [n for n, _, _ in made])
-
-        from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-        kinds = {"string": StringType(), "long": LongType()}
-        return joined.mapInArrow(cut, StructType([*own, *[StructField(n, kinds[t]) for n, _, t in made]]))
+                        n, kept = len(lines) - len(stay), b"\n".join(stay)
+                    kept_.append(kept.decode("utf-8", "replace"))
+                    lines_.append(len(lines))
+                    dropped.append(n)
+                    digest.append(hashlib.sha256(kept).hexdigest())
+                own = batch.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(kept_, pa.string()), pa.array(lines_, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string())], [*batch.schema.names[:-1], *made])
+
+        kinds = [StringType(), LongType(), LongType(), StringType()]
+        return joined.mapInArrow(cut, StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(made, kinds, strict=True)]]))
+
+
+def indexed(spark: SparkSession, docs: DataFrame, root: str, min_chars: int = 10, batches: int = 2) -> LineIndex:
+    """An index of a whole table, inserted in batches (by a hash of doc_id) as an incremental run would."""
+    index = LineIndex(spark, root, min_chars)
+    for k in range(batches):
+        index.insert(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    return index
