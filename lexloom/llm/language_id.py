@@ -4,11 +4,11 @@ A window of ``WINDOW`` bytes (the last one of a text padded with zero bytes) goe
 a rectifier, max pooling over the window, and softmax. A text's probabilities are the mean over all its windows, weighted by their bytes. As a
 filter over one-hot bytes is a sum of table entries, the tables of neighbouring bytes are added up beforehand for whole byte pairs.
 
-The network is trained in numpy on the driver from a bounded sample: ``PER_LANGUAGE`` labelled documents of each of the
-``LANGUAGES`` most frequent languages (those with the smallest hash of their doc_id), ``WINDOWS`` windows of each. Everything is seeded.
+The network is trained in numpy on the driver from a bounded sample: ``SAMPLE`` labelled rows in all, at most ``PER_LANGUAGE`` of each
+language and at least one (those with the smallest hash of doc_id and text), ``WINDOWS`` windows of each. Everything is seeded.
 
 Defined results: a null text and a text without a letter get ``und`` and score 0; without labelled documents every text does;
-labels that are null or rarer than the ``LANGUAGES`` most frequent are never learned; rows are judged one by one.
+a null label is no label; rows are judged one by one; their own columns stay as they are, results have the prefix ``_lx_``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import texts
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
-LANGUAGES, PER_LANGUAGE, WINDOWS = 64, 300, 4
+SAMPLE, PER_LANGUAGE, WINDOWS = 20_000, 300, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
 
@@ -134,31 +134,30 @@ def has_letter(text):
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def fitted(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Network | None:
-    """Trains on a bounded sample of (doc_id, text, lang)."""
-    usable = labelled.where(F.col("lang").isNotNull())
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.where(has_letter(F.col("text"))).select("doc_id", "lang").join(F.broadcast(top), "lang").withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= per_language)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").collect()]
-    if not ids:
-        return None
+def fitted(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Network | None:
+    """Trains on a bounded sample of (doc_id, text, lang); every label that a text with a letter has is learned."""
     raw = F.col("text").cast("binary")
-    n = F.octet_length("text")
-    cuts = [F.substring(raw, (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.ceil(n / WINDOW), F.lit(1))) * WINDOW + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)]
-    # doc_ids may repeat, so the number of rows is bounded once more
-    sample = usable.where(F.col("doc_id").isin(ids) & has_letter(F.col("text"))).select("lang", "doc_id", F.array_distinct(F.array(*cuts)).alias("parts")).orderBy("doc_id", "lang", "parts").limit(2 * per_language * languages).collect()
-    labels = sorted({r["lang"] for r in sample})
-    rows = [(labels.index(r["lang"]), bytes(p)) for r in sample for p in r["parts"] if len(p)]
-    return train(np.concatenate([windows_of(p)[:1] for _, p in rows]), np.array([k for k, _ in rows]), labels)
+    usable = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    labels = sorted(r["lang"] for r in usable.groupBy("lang").count().select("lang").collect())  # one row a language
+    if not labels:
+        return None
+    each = max(1, min(per_language, sample // len(labels)))
+    count = F.greatest(F.ceil(F.octet_length("text") / WINDOW), F.lit(1))
+    cuts = [F.substring(raw, (F.pmod(F.xxhash64("doc_id", F.lit(k)), count) * WINDOW + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)]
+    cut = usable.select("lang", F.xxhash64("doc_id").alias("_lx_a"), F.xxhash64("text").alias("_lx_b"), F.array_distinct(F.array(*cuts)).alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_lx_a", "_lx_b", "parts"))  # only the first few of each task are sorted
+    rows = cut.withColumn("_lx_rank", rank).where(F.col("_lx_rank") <= each).select("lang", "_lx_rank", "parts").collect()
+    at = {name: i for i, name in enumerate(labels)}
+    found = [(at[r["lang"]], bytes(p)) for r in sorted(rows, key=lambda r: (r["lang"], r["_lx_rank"])) for p in r["parts"] if len(p)]
+    return train(np.concatenate([windows_of(p)[:1] for _, p in found]), np.array([k for k, _ in found]), labels)
 
 
 def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
-    """The rows with lang_pred and score behind their own columns; a prediction reads the text alone."""
+    """The rows with _lx_lang and _lx_score behind their own columns; a prediction reads the text alone."""
     if network is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({"_lx_lang": F.lit(UNKNOWN), "_lx_score": F.lit(0.0)})
     shipped = docs.sparkSession.sparkContext.broadcast(network)
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    own = docs.schema.fields
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +195,6 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
             score = np.where(known, sums[np.arange(len(raw)), best] / np.where(known, weight, 1), 0.0)
             label = [net.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             keep = [batch.column(batch.schema.get_field_index(f.name)) for f in own]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], [*[f.name for f in own], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], [*[f.name for f in own], "_lx_lang", "_lx_score"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in own], has_letter(F.col("text")).alias("_lx_letter")).mapInArrow(run, StructType([*own, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.select(*[F.col(f"`{f.name}`") for f in own], has_letter(F.col("text")).alias("_lx_letter")).mapInArrow(run, StructType([*own, StructField("_lx_lang", StringType()), StructField("_lx_score", DoubleType())]))

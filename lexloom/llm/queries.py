@@ -17,15 +17,15 @@ _SQL_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = line_dedup.LineIndex(spark, work_dir(spark, "lines"), min_chars=10).insert(docs)
-    return index.apply(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    cut = line_dedup.indexed(spark, docs, work_dir(spark, "lines"), min_chars=10).apply(docs)
+    return cut.select("doc_id", F.col("_lx_lines").alias("n_lines"), F.col("_lx_dropped").alias("n_dropped"), F.col("_lx_sha256").alias("kept_sha256"))
 
 
 OP1_SQL = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 keyed AS (SELECT *, translate(trim(line, {_SQL_SPACE}), {_SQL_FOLD}) AS key FROM lines),
-shared AS (SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
-marked AS (SELECT k.doc_id, k.line, k.i, s.keeper IS NOT NULL AND k.doc_id <> s.keeper AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+shared AS (SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= 2),
+marked AS (SELECT k.doc_id, k.line, k.i, s.keeper IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
@@ -55,7 +55,8 @@ def _fold(n: int):
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_fold(4) == 2).alias("held_out"))
     network = language_id.fitted(docs.where(~F.col("held_out")))
-    return language_id.predicted(docs.select("doc_id", "held_out", "text"), network).drop("text")
+    found = language_id.predicted(docs.select("doc_id", "held_out", "text"), network)
+    return found.select("doc_id", "held_out", F.col("_lx_lang").alias("lang_pred"), F.col("_lx_score").alias("score"))
 
 
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +79,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "mix")
     rows = written(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")), f"{root}/rows")
     mix = mixing.Mix(rows, root)
-    sources = mix.sources.select("src_", "nul_", "source_size", "target")
-    taken = mixing.keyed(mix.applied(rows)).join(sources, ["src_", "nul_"])
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
+    sources = mix.sources.select("_lx_src", "_lx_nul", "source_size", "target")
+    taken = mixing.keyed(mix.applied(rows)).join(sources, ["_lx_src", "_lx_nul"])
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_lx_copies")).alias("taken"), F.col("_lx_copies").alias("copies"), F.array_join(F.col("_lx_shards").cast("array<string>"), ",").alias("shards"))
 
 
 def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
