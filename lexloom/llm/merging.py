@@ -129,7 +129,8 @@ class UnitStore:
 
     KEEP = 400_000
 
-    def __init__(self):
+    def __init__(self, keep: int = KEEP):
+        self.keep = keep
         self.clear()
 
     def clear(self) -> None:
@@ -144,7 +145,7 @@ class UnitStore:
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh, first = np.unique(key[new], return_index=True)
-            if self.index.n + len(fresh) > self.KEEP and self.index.n:
+            if self.index.n + len(fresh) > self.keep and self.index.n:
                 self.clear()
                 fresh, new = np.unique(key, return_index=True)
                 first = np.arange(len(new))

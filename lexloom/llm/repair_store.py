@@ -7,10 +7,12 @@ token ids; symbol ``vocab + k`` stands for rule ``k``. The expansion lengths giv
 a range of a block is decoded without the rest of it (:func:`read_range`).
 
 Documents are dealt into shards by ranges of doc_id and lie in ascending order in them; a block closes
-after ``BLOCK_TOKENS`` tokens, so memory doesn't follow the size of a shard (only a single longer document makes a longer block).
+after ``BLOCK_TOKENS`` tokens and has a grammar of its own, so memory doesn't follow the size of a shard (only a single longer document makes a longer block)
+and a document is read without the rest of its shard (:func:`read_document`).
 
 Defined results: a null text is encoded as an empty one (its end id alone); null doc_ids come first; rows with the same doc_id follow each
-other in the order of their texts; an empty table gives no shard and an empty result.
+other in the order of their texts; an empty table gives no shard and an empty result; other columns play no part, whatever their names. Words
+already encoded are found again by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,68 +29,84 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, filesystem, slices, texts, written
-from .merging import MergeTable, UnitStore, lockstep
-from .wordscan import pieces, run_hashes
+from .common import filesystem, slices, texts, written
+from .merging import UnitStore
+from .wordscan import Words, pieces
 
 MAGIC = b"RPZ1"
 BLOCK_TOKENS = 1 << 20
 #: A pair becomes a rule if it occurs this often in the block.
 MIN_COUNT = 12
-#: Rounds of replacement, and the most rules made in one of them.
-ROUNDS, RULES_A_ROUND = 6, 4000
-_SLOTS = 18
 
 
-def compress(seq: np.ndarray, vocab: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: each round counts all adjacent pairs, makes rules of the most frequent ones and replaces their
-    occurrences from left to right without overlap; later rounds pair up the nonterminals. Returns (sequence, rules)."""
+def compress(seq: np.ndarray, vocab: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """Re-Pair: pairs that occur often become rules and their occurrences nonterminals, the most frequent pairs first, until no
+    pair occurs ``min_count`` times. Returns (sequence, rules).
+
+    A round takes all pairs that occur at least an eighth as often as the most frequent one. Where occurrences overlap, that of
+    the more frequent pair is replaced, the left one among equals; what is left comes up again in the next round, counted anew."""
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     top = vocab
-    room = (1 << 16) - vocab if vocab < (1 << 16) else 1 << 20
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count or room <= 0:
-            break
-        left, right = seq[:-1], seq[1:]
-        slot = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(32 - _SLOTS)
-        count = np.bincount(slot, minlength=1 << _SLOTS)
-        most = min(RULES_A_ROUND, room)
-        least = max(min_count, int(np.partition(count, -most)[-most]))
-        at = np.flatnonzero((count >= least)[slot])
-        if not len(at):
+    while len(seq) >= 2:
+        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        pair, count = _counted(code)
+        if not len(count) or count.max() < min_count:
             break
-        s = slot[at]
-        owner = np.full(1 << _SLOTS, -1, np.int64)
-        owner[s[::-1]] = at[::-1]  # the pair of a slot is the first that hashes to it
-        first = owner[s]
-        same = (left[at] == left[first]) & (right[at] == right[first])
-        at, s = at[same], s[same]
-        breaks = np.flatnonzero(np.diff(at) != 1) + 1  # of neighbouring occurrences, every other one is replaced
-        starts = np.zeros(len(at), np.int64)
-        starts[breaks] = breaks
-        starts = np.maximum.accumulate(starts)
-        keep = ((np.arange(len(at)) - starts) & 1) == 0
-        at, s = at[keep], s[keep]
-        kept = np.bincount(s, minlength=1 << _SLOTS)
-        good = np.flatnonzero(kept >= min_count)[:room]
-        if not len(good):
+        often = count >= max(min_count, int(count.max()) // 8)
+        pair, count = pair[often], count[often]
+        rank = np.empty(len(pair), np.int64)
+        rank[np.lexsort((pair, -count))] = np.arange(len(pair))
+        slots = np.zeros(1 << 16, bool)
+        slots[_slot(pair)] = True
+        at = np.flatnonzero(slots[_slot(code)])
+        place = np.minimum(np.searchsorted(pair, code[at]), len(pair) - 1)
+        hit = pair[place] == code[at]
+        at, own = at[hit], rank[place[hit]]
+        near = np.diff(at) == 1  # the next occurrence overlaps
+        lose = np.zeros(len(at), bool)
+        lose[:-1] |= near & (own[:-1] > own[1:])
+        lose[1:] |= near & (own[1:] > own[:-1])
+        same = np.concatenate([[False], near & (own[1:] == own[:-1])])  # runs of one symbol: every other pair
+        begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+        lose |= ((np.arange(len(at)) - begin) & 1) == 1
+        at, own = at[~lose], own[~lose]
+        clash = np.flatnonzero(np.diff(at) == 1) + 1  # left over where runs meet better pairs
+        if len(clash):
+            stay = np.ones(len(at), bool)
+            stay[clash] = False
+            at, own = at[stay], own[stay]
+        made = np.bincount(own, minlength=len(pair))
+        good = np.flatnonzero(made >= min(min_count, int(made.max())))
+        if made.max() < 2:
             break
-        name = np.full(1 << _SLOTS, -1, np.int64)
+        name = np.full(len(pair), -1, np.int64)
         name[good] = top + np.arange(len(good))
-        new = name[s]
+        new = name[own]
         at, new = at[new >= 0], new[new >= 0]
-        rules.append(np.stack([left[owner[good]], right[owner[good]]], axis=1))
+        of = np.empty(len(pair), np.uint64)
+        of[rank] = pair
+        rules.append(np.stack([of[good] >> np.uint64(32), of[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq.copy()
         seq[at] = new
         seq = seq[stay]
         top += len(good)
-        room -= len(good)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def _slot(code: np.ndarray) -> np.ndarray:
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
+def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of an array, in order, and how often each occurs."""
+    held = np.sort(code)
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    return held[first], np.diff(np.append(first, len(held)))
+
+
 def expansion_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
     """Tokens behind each rule; a rule only names earlier symbols."""
     length = np.ones(vocab + len(rules), np.int64)
@@ -163,88 +181,57 @@ def read_range(block: Block, start: int, count: int) -> np.ndarray:
     return out[skip : skip + count]
 
 
+def read_document(block: Block, doc_id: int | None) -> list[np.ndarray]:
+    """The tokens of each document of a block with this id, expanding nothing else."""
+    starts = np.cumsum(block.counts) - block.counts
+    return [read_range(block, int(starts[i]), int(block.counts[i])) for i, own in enumerate(block.ids) if own == doc_id]
+
+
 class WordEncoder:
-    """Encodes pre-tokens once each. A pre-token never contains white space; within a word of Latin letters, digits and marks it
-    is a run of letters, one digit or a run of marks, and its normal form is its lower case. Such pre-tokens are merged
-    here; a word that holds anything else (an apostrophe, other scripts, controls, the special tokens' bar) goes to the library whole."""
+    """Encodes texts with the tokenizers library, each distinct word once. A pre-token never contains white space, so that a text's ids are those
+    of its words one after the other. New words go to the library many at a time, with the word ``BAR`` between them; words that
+    hold a bar themselves go alone."""
 
-    SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+    BAR, TOGETHER, KEEP = b"|", 1000, 1 << 20
 
     def __init__(self, blob: bytes):
         from tokenizers import Tokenizer
 
-        self.store = UnitStore()
+        self.store = UnitStore(self.KEEP)
         self.tokenizer = Tokenizer.from_buffer(blob)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        model = json.loads(blob)["model"]
-        ids = model["vocab"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.table = MergeTable({(ids[a], ids[b]): (i, ids[a + b]) for i, (a, b) in reversed(list(enumerate(merges))) if a in ids and b in ids})
-        letter = _byte_letters()
-        end = model["end_of_word_suffix"]
-        self.inner = np.array([ids.get(letter[b], -1) for b in range(256)], np.int32)
-        self.last = np.array([ids.get(letter[b] + end, -1) for b in range(256)], np.int32)
-        self.kind = np.full(256, self.OTHER, np.uint8)
-        for b in range(33, 127):
-            c = chr(b)
-            self.kind[b] = self.LETTER if c.isalpha() else self.DIGIT if c.isdigit() else self.OTHER if c in "'|" else self.MARK
-        self.kind[list(SPACE)] = self.SPACE
-
-    def _units(self, raw: np.ndarray):
-        kind = self.kind[raw]
-        lead = raw == 0xC3  # U+00C0 to U+00FF
-        low = raw.copy()
-        low[(raw >= 65) & (raw <= 90)] += 32
-        if lead.any():
-            second = np.concatenate([[False], lead[:-1]]) & (raw >= 0x80) & (raw != 0x97) & (raw != 0xB7)
-            kind[lead] = self.LETTER
-            kind[second] = self.LETTER
-            low[second & (raw <= 0x9E)] += 32
-        at = np.flatnonzero(kind)
-        kind = kind[at]
-        word = np.ones(len(at), bool)
-        word[1:] = np.diff(at) > 1
-        begin = np.flatnonzero(word)
-        odd = np.repeat(np.maximum.reduceat(kind, begin) == self.OTHER, np.diff(np.append(begin, len(at)))) if len(at) else word
-        change = np.ones(len(at), bool)
-        change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
-        start = np.flatnonzero(word | (change & ~odd))
-        return at, np.where(odd, raw[at], low[at]), odd, start, np.diff(np.append(start, len(at)))
-
-    def _piece(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, ids of each unit, place of each unit in the piece)"""
-        at, data, odd, start, length = self._units(np.frombuffer(raw, np.uint8))
-        key = run_hashes(data, start, length)
-        key ^= odd[start].astype(np.uint64) if len(start) else key
-
-        def learn(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            alone = odd[start[units]] | (length[units] > 48)
-            plain, rest = units[~alone], units[alone]
-            size = length[plain]
-            ends = np.cumsum(size)
-            flat = data[np.repeat(start[plain] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            symbols = self.inner[flat]
-            symbols[ends - 1] = self.last[flat[ends - 1]]
-            ids, count = lockstep(symbols, size, self.table)
-            words = [data[start[u] : start[u] + length[u]].tobytes().decode("utf-8", "replace") for u in rest]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            sizes = np.zeros(len(units), np.int64)
-            sizes[~alone], sizes[alone] = count, [len(x) for x in made]
-            out = np.empty(int(sizes.sum()), np.int32)
-            own = np.repeat(alone, sizes)
-            out[~own], out[own] = ids, [i for x in made for i in x]
-            return out, sizes
-
-        ids, count = self.store.gather(key, learn)
-        return ids, count, at[start]
+        self.bar = self.tokenizer.encode(self.BAR.decode(), add_special_tokens=False).ids
+
+    def _ids(self, texts_: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts_], add_special_tokens=False)]
+
+    def learned(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, ids of each)"""
+        count = np.zeros(len(words), np.int64)
+        alone = np.array([self.BAR in w for w in words], bool) if len(self.bar) == 1 else np.ones(len(words), bool)
+        plain, odd = np.flatnonzero(~alone), np.flatnonzero(alone)
+        made = self._ids([(b" " + self.BAR + b" ").join([words[i] for i in plain[a : a + self.TOGETHER]]) for a in range(0, len(plain), self.TOGETHER)])
+        flat = np.array([i for x in made for i in [*x, *self.bar]], np.int32)
+        ends = flat == self.bar[0]
+        stops = np.flatnonzero(ends)
+        if len(plain) and len(stops) != len(plain):
+            raise ValueError("the library doesn't encode words apart from each other")
+        count[plain] = np.diff(np.concatenate([[-1], stops])) - 1 if len(plain) else 0
+        rest = self._ids([words[i] for i in odd])
+        count[odd] = [len(x) for x in rest]
+        own = np.repeat(alone, count)
+        out = np.empty(int(count.sum()), np.int32)
+        out[~own] = flat[~ends] if len(plain) else []
+        out[own] = [i for x in rest for i in x]
+        return out, count
 
     def encode(self, batch: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all texts one after the other, each followed by the end id; tokens of each text)"""
         parts, per_text = [], np.zeros(len(batch), np.int64)
         for group, owner in pieces(batch):
-            ids, count, place = self._piece(b"\n".join(group))
-            text = np.array(owner)[np.searchsorted(np.cumsum([len(x) + 1 for x in group]), place, "right")] if len(place) else np.zeros(0, np.int64)
-            per_text += np.bincount(text, weights=count, minlength=len(batch)).astype(np.int64)
+            words = Words(group, owner)
+            ids, count = self.store.gather(words.hash, lambda at, words=words: self.learned([words.word(i) for i in at.tolist()]))
+            per_text += np.bincount(words.text, weights=count, minlength=len(batch)).astype(np.int64)
             parts.append(ids)
         tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         out = np.full(len(tokens) + len(batch), end_id, np.uint32)
@@ -252,14 +239,6 @@ class WordEncoder:
         return out, per_text + 1
 
 
-def _byte_letters() -> list[str]:
-    """The printable character that byte-level vocabularies use for each byte: itself if it is printable in Latin-1, else the next
-    free one from code point 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
-
 _encoders: dict[int, WordEncoder] = {}  # lives as long as the Python worker
 
 
@@ -339,6 +318,14 @@ def open_shard(uri: str) -> tuple[io.IOBase, list[dict]]:
     return f, json.loads(f.read(size))
 
 
+def read_block(row) -> bytes:
+    """The bytes of the block that a manifest's row names."""
+    fs, path = filesystem(row["file"])
+    with fs.open_input_file(path) as f:
+        f.seek(row["offset"])
+        return f.read(row["length"])
+
+
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files of a manifest.
 
@@ -355,10 +342,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, path = filesystem(row["file"])
-                with fs.open_input_file(path) as f:
-                    f.seek(row["offset"])
-                    block = Block(f.read(row["length"]))
+                block = Block(read_block(row))
                 tokens = block.all().astype("<u4")
                 ends = np.cumsum(block.counts)
                 starts = ends - block.counts
