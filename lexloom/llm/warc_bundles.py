@@ -8,7 +8,8 @@ read from its frame alone by the index (record_id -> file, frame, offset within
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is a response, all others are revisits.
 
 Defined results: a null html is an empty payload; a null page_id comes after all others; rows that repeat the smallest page_id of a
-payload are responses all; a null url leaves its header out; an empty table gives no bundle and an empty result.
+payload are responses all, with ids of their own; a null url leaves its header out; an empty table gives no bundle and an empty result; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,23 +29,27 @@ from pyspark.sql import functions as F
 from .common import filesystem, slices, written
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 256 << 20, 3
+#: Compressed bytes that a reading task gets.
+TASK_BYTES = 4 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """A response's id follows from its page and payload, so that revisits can name it; others are told apart by their place."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}{place}')}>"
 
 
 def base32(digest_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(digest_hex)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, least: int | None, date: str = DATE) -> tuple[str, bytes]:
-    """(record id, bytes of one WARC record)"""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, least: int | None, date: str = DATE, place: str = "", single: bool = True) -> tuple[str, bytes]:
+    """(record id, bytes of one WARC record). place: what tells a record apart that isn't the only response of its page and payload; single:
+    whether the response that a revisit refers to is the only one, else the header that names it is left out."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    own = record_id(page_id, digest)
+    own = record_id(page_id, digest, place)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
@@ -52,8 +57,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         head.append(f"X-Page-ID: {page_id}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {len(payload)}"]
     if revisit:
-        head += [f"WARC-Refers-To: {record_id(least, digest)}", f"X-Refers-To-Page: {least}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {record_id(least, digest)}"] if single else []
+        head += [f"X-Refers-To-Page: {least}", f"WARC-Profile: {PROFILE}"]
     block = http if revisit else http + payload
+    head.append(f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).hexdigest())}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return own, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -150,9 +157,14 @@ def write_bundles(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     size = F.octet_length("payload")
-    heads = rows.where(size >= least).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digest", "least")
+    pages_ = rows.where(size >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("rows"))
+    heads = pages_.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "rows"))).alias("first"), F.sum("rows").alias("n"))
+    heads = heads.where(F.col("n") > 1).select("digest", F.col("first.page_id").alias("least"), F.coalesce(F.col("first.rows") == 1, F.lit(False)).alias("single"))
     # only repeated payloads are joined; a payload that a third of the rows share is split by adaptive execution
-    marked = rows.join(heads, "digest", "left").select("page_id", "url", "payload", "digest", "least", (F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))).alias("revisit"))
+    revisit = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
+    marked = rows.join(heads, "digest", "left").select("page_id", "url", "payload", "digest", "least", revisit.alias("revisit"), F.coalesce("single", F.lit(True)).alias("single"))
+    # payloads too small to be looked at can repeat as well
+    marked = marked.withColumn("single", F.col("single") & (F.octet_length("payload") >= least))
     folder = f"{root}/bundles"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +179,9 @@ def write_bundles(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
         for batch in slices(batches, 500, "payload"):
             if bundle is None:
                 bundle = Bundle(f"{folder}/{part:06d}-{uuid.uuid4().hex}.warc.zst")  # only the index names files, so a repeated task does no harm
-            for page, url, data, digest, least_, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, made = record(page, url, data, base32(digest), revisit, least_)
+            for page, url, data, digest, least_, revisit, single in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = "" if single and not revisit else f"/{bundle.uri}/{len(rows)}"
+                own, made = record(page, url, data, base32(digest), revisit, least_, place=place, single=single)
                 frame, offset = bundle.add(made)
                 rows.append({"page_id": page, "record_id": own, "file": bundle.uri, "frame": frame, "offset": offset, "length": len(made)})
             if bundle.at > BUNDLE_BYTES:
@@ -184,6 +197,9 @@ def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to from the frames that an index names; a response's payload is hashed
     again and must have the digest that its header gives."""
     frames = index.groupBy("file", "frame_at", "frame_size").agg(F.count(F.lit(1)).alias("n"))
+    # tasks follow the bytes of the frames, not those of the index
+    tasks = max(1, -(-int(frames.agg(F.sum("frame_size")).first()[0] or 0) // TASK_BYTES))
+    frames = frames.repartition(tasks, "file", "frame_at")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
