@@ -6,7 +6,8 @@ are removed from all but the host's smallest doc_id that holds them, and a docum
 rejected. The limit is ``SHARE`` of the host's documents, ``LEAST`` at least.
 
 Defined results: a null text has no words (it fails the base rules); a null host is a host of its own; every row counts as
-a document, also when doc_ids repeat; a null doc_id comes after all others; an empty table gives an empty result.
+a document, also when doc_ids repeat; a null doc_id comes after all others; an empty table gives an empty result; other columns play no
+part, whatever their names. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

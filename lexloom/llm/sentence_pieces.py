@@ -8,7 +8,7 @@ places, and a worker merges each distinct part once. A character that is no piec
 Each Arrow batch is checked against the sentencepiece library: ids that differ raise an error. Decoding is the library's.
 
 Defined results: a null text is encoded as an empty one (begin and end ids alone), an empty table gives an empty result;
-texts are encoded whole, rows are independent of each other.
+texts are encoded whole, rows are independent of each other; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -40,8 +40,9 @@ def keys(text):
 
 
 def test_line_dedup(spark, docs, empty):
-    index = line_dedup.LineIndex(spark, work_dir(spark, "t")).insert(docs)
-    got = index.apply(docs.withColumn("hi", F.lit("clash"))).collect()
+    index = line_dedup.indexed(spark, docs, work_dir(spark, "t"))
+    got = index.apply(docs.withColumns({"hi": F.lit("clash"), "n_dropped": F.lit("own"), "mark": F.lit(1)})).collect()
+    assert {(r.hi, r.n_dropped, r.mark) for r in got} == {("clash", "own", 1)}
     least = {}
     holders = collections.defaultdict(set)
     for i, text, *_ in ROWS:
@@ -54,21 +55,36 @@ def test_line_dedup(spark, docs, empty):
         lines = (text or "").split("\n")
         kept = [x for x, k in zip(lines, keys(text), strict=True) if k is None or len(holders[k]) < 2 or i == least[k]]
         want[i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
-    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == want
-    assert line_dedup.LineIndex(spark, work_dir(spark, "t")).insert(empty).apply(empty).count() == 0
+    assert collections.Counter((r.doc_id, r._lx_lines, r._lx_dropped, r._lx_sha256) for r in got) == want
+    assert line_dedup.indexed(spark, empty, work_dir(spark, "t")).apply(empty).count() == 0
 
 
 def test_line_dedup_is_reversible(spark, docs):
     first, second = docs.where("doc_id <= 4"), docs.where("doc_id > 4 or doc_id is null")
-    index = line_dedup.LineIndex(spark, work_dir(spark, "t")).insert(first)
+    root = work_dir(spark, "t")
+    index = line_dedup.LineIndex(spark, root).insert(first)
     state = sorted(map(tuple, index.refs.collect()), key=str)
+    before = sorted(r._lx_sha256 for r in index.apply(first).collect())
     index.insert(second)
     assert len(index.refs.collect()) > len(state)
-    index.delete(second.select("doc_id"))
-    assert sorted(map(tuple, index.refs.collect()), key=str) == state
-    live = index.filters.where("kind = 'live'").first()
-    made = line_dedup.CuckooFilter.load(bytes(live.table))
-    assert (made.table != 0).sum() == len(state) and made.contains(np.array([r[1] for r in state])).all()
+    grown = sorted(map(tuple, index.refs.collect()), key=str)
+    index.insert(second)  # brought already
+    assert sorted(map(tuple, index.refs.collect()), key=str) == grown
+    again = line_dedup.LineIndex.open(spark, root)  # as another session finds it
+    again.delete(second.select("doc_id"))
+    assert sorted(map(tuple, again.refs.collect()), key=str) == state
+    assert sorted(r._lx_sha256 for r in again.apply(first).collect()) == before
+    live = again.filters.collect()
+    made = line_dedup.CuckooFilter.load(bytes(live[0].table))
+    assert len(live) == 1 and (made.table != 0).sum() == len(state) == live[0].n and made.contains(np.array([r[1] for r in state])).all()
+    assert sorted(map(tuple, again.insert(second).refs.collect()), key=str) == grown
+
+
+def test_filters_without_room_are_built_anew(spark):
+    one = spark.range(200).select("id", F.concat(F.lit("a line of its own, number "), "id").alias("text")).withColumnRenamed("id", "doc_id")
+    index = line_dedup.LineIndex(spark, work_dir(spark, "t")).insert(one.where("doc_id < 20")).insert(one)
+    live = index.filters.collect()
+    assert sum(r.n for r in live) == 200 == index.refs.count() and len(index._read("filters")) == 2
 
 
 def test_cuckoo_filter():
@@ -105,6 +121,9 @@ def test_repair_store(spark, docs, empty):
     f, foot = repair_store.open_shard(manifest.first().file)
     assert sum(b["docs"] for b in foot) >= 1
     f.close()
+    block = repair_store.Block(repair_store.read_block(manifest.first()))
+    some = block.ids[-1]
+    assert [zlib.crc32(x.astype("<u4").tobytes()) for x in repair_store.read_document(block, some)] == [crc for i, _, _, crc in want if i == some]
     assert repair_store.read_shards(spark, repair_store.write_shards(empty, work_dir(spark, "t"), blob, 1)).count() == 0
 
 
@@ -193,10 +212,10 @@ def test_language_id(spark, docs, empty):
     rows = [(i, (en if i % 2 else de) * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)] + [(100, None, "en"), (101, "12 34", "en"), (102, en * 9000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     network = language_id.fitted(df.where("doc_id < 40"))
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predicted(df, network).collect()}
+    got = {r.doc_id: (r._lx_lang, r._lx_score) for r in language_id.predicted(df.withColumn("score", F.lit("own")), network).collect()}
     assert all(got[i][0] == ("en" if i % 2 else "de") and 0.5 < got[i][1] <= 1 for i in range(60))
     assert got[100] == ("und", 0.0) and got[101] == ("und", 0.0) and got[102][0] == "en"
-    assert language_id.fitted(empty) is None and language_id.predicted(docs, None).where("lang_pred = 'und'").count() == len(ROWS)
+    assert language_id.fitted(empty) is None and language_id.predicted(docs, None).where("_lx_lang = 'und'").count() == len(ROWS)
 
 
 def test_mixing(spark, docs, empty):
@@ -204,9 +223,9 @@ def test_mixing(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     mix = mixing.Mix(df, work_dir(spark, "t"))
     got = mix.applied(df).collect()
-    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    assert len(got) == len(rows) and all(0 <= r._lx_copies <= 3 for r in got)
     again = mixing.Mix(df.repartition(5), work_dir(spark, "t")).applied(df).collect()
-    assert sorted((r.doc_id, r.copies, tuple(r.shards)) for r in got) == sorted((r.doc_id, r.copies, tuple(r.shards)) for r in again)
+    assert sorted((r.doc_id, r._lx_copies, tuple(r._lx_shards)) for r in got) == sorted((r.doc_id, r._lx_copies, tuple(r._lx_shards)) for r in again)
     size = collections.Counter()
     for _, text, s in rows:
         size[s] += len((text or "").split())
@@ -223,24 +242,24 @@ def test_mixing(spark, docs, empty):
             left -= target[s]
             free.discard(s)
     target |= {s: level * weight[s] for s in free}
-    found = {(None if r.nul_ else r.src_): r.target for r in mix.sources.collect()}
+    found = {(None if r._lx_nul else r._lx_src): r.target for r in mix.sources.collect()}
     assert all(abs(found[s] - target[s]) < 1e-6 for s in order)
     taken = collections.Counter()
     for r in got:
-        taken[r.source] += r.size * r.copies
+        taken[r.source] += r.size * r._lx_copies
     assert all(abs(taken[s] - target[s]) <= max(2, 0.02 * target[s]) for s in order)
     rows_out = mixing.mixed_rows(df, mix)
-    assert rows_out.count() == sum(r.copies for r in got)
+    assert rows_out.count() == sum(r._lx_copies for r in got)
     assert mixing.Mix(df.limit(0), work_dir(spark, "t")).applied(df.limit(0)).count() == 0
 
 
 def test_splitting_tree_is_exact(spark):
-    units = spark.createDataFrame([("a", False, 100), ("b", False, 37), ("", True, 3)], "src_ string, nul_ boolean, k long")
+    units = spark.createDataFrame([("a", False, 100), ("b", False, 37), ("", True, 3)], "_lx_src string, _lx_nul boolean, k long")
     got = mixing.split_tree(units, 6, 5).collect()
     per = collections.Counter()
     by = collections.Counter()
     for r in got:
-        per[r.src_, r.nul_] += r.quota
+        per[r._lx_src, r._lx_nul] += r.quota
         by[r.shard] += r.quota
         assert r.quota >= 0
     assert per == {("a", False): 100, ("b", False): 37, ("", True): 3} and max(by.values()) - min(by.values()) <= 1 and len(by) == 6
