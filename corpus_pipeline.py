@@ -3,7 +3,7 @@
 Stages, in order: language identification drops texts without a letter and texts whose language is unclear; line
 deduplication takes lines out that an earlier document holds; near-duplicate detection keeps the smallest document of each class; mixing
 repeats or leaves out documents so that sources come to their target weights; encoding turns texts into ids. All stages but the last return the columns
-of ``documents``. Null texts and null columns pass through each stage as its operator defines.
+of ``documents``, and any others that came with them. Null texts and null columns pass through each stage as its operator defines.
 """
 
 from __future__ import annotations
@@ -18,31 +18,38 @@ from lexloom.llm.common import tokenizer_file, work_dir, written
 MIN_LANGUAGE_SCORE = 0.3
 
 
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts with a letter whose language is clear; without a labelled text nothing is known of languages, and every text with a letter stays."""
     network = language_id.fitted(docs.select("doc_id", "text", "lang"))
+    if network is None:
+        return docs.where(language_id.has_letter(F.col("text")))
     judged = language_id.predicted(docs, network)
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return judged.where((F.col("_lx_lang") != language_id.UNKNOWN) & (F.col("_lx_score") >= MIN_LANGUAGE_SCORE)).select(_own(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines; a document that loses every line goes, and n_chars follows the text."""
-    cut = line_dedup.LineIndex(spark, work_dir(spark, "lines")).insert(docs).apply(docs)
-    changed = F.col("n_dropped") > 0
-    kept = cut.where(~changed | (F.trim("kept_text") != ""))
-    values = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    """Cuts lines; a document that loses every line with a word goes, and n_chars follows the text."""
+    cut = line_dedup.indexed(spark, docs, work_dir(spark, "lines")).apply(docs)
+    changed = F.col("_lx_dropped") > 0
+    kept = cut.where(~changed | F.col("_lx_text").rlike(r"[^\x20\x09-\x0D]"))
+    values = {"text": F.when(changed, F.col("_lx_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumns(values).select(docs.columns)
+        values["n_chars"] = F.when(changed, F.length("_lx_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumns(values).select(_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return prob_minhash.kept(docs, work_dir(spark, "near")).select(docs.columns)
+    return prob_minhash.kept(docs, work_dir(spark, "near")).select(_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "mix")
     rows = written(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), f"{root}/rows")
-    return mixing.mixed_rows(docs, mixing.Mix(rows, root)).select(docs.columns)
+    return mixing.mixed_rows(docs, mixing.Mix(rows, root)).select(_own(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
