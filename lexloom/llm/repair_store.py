@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, slices, texts, written
-from .merging import UnitStore
-from .wordscan import Words, pieces
+from .common import SPACE, filesystem, slices, texts, written
+from .merging import MergeTable, UnitStore, lockstep
+from .wordscan import pieces, run_hashes
 
 MAGIC = b"RPZ1"
 BLOCK_TOKENS = 1 << 20
@@ -40,64 +40,72 @@ MIN_COUNT = 12
 
 
 def compress(seq: np.ndarray, vocab: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair: pairs that occur often become rules and their occurrences nonterminals, the most frequent pairs first, until no
-    pair occurs ``min_count`` times. Returns (sequence, rules).
+    """Re-Pair: pairs that occur often become rules and their occurrences nonterminals, until no pair occurs ``min_count`` times.
+    Returns (sequence, rules).
 
-    A round takes all pairs that occur at least an eighth as often as the most frequent one. Where occurrences overlap, that of
-    the more frequent pair is replaced, the left one among equals; what is left comes up again in the next round, counted anew."""
+    A round takes all frequent pairs at once. Where occurrences overlap, that of the more frequent pair is replaced, the
+    left one among equals; what is left comes up again in the next round, counted anew."""
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     top = vocab
-    while len(seq) >= 2:
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    # places whose pair can still become frequent: all at first, then those next to a new symbol and occurrences that a better pair took the place of
+    open_ = np.arange(max(0, len(seq) - 1))
+    while len(open_):
+        code = (seq[open_].astype(np.uint64) << np.uint64(32)) | seq[open_ + 1]
         pair, count = _counted(code)
-        if not len(count) or count.max() < min_count:
+        often = count >= min_count
+        if not often.any():
             break
-        often = count >= max(min_count, int(count.max()) // 8)
         pair, count = pair[often], count[often]
         rank = np.empty(len(pair), np.int64)
         rank[np.lexsort((pair, -count))] = np.arange(len(pair))
-        slots = np.zeros(1 << 16, bool)
-        slots[_slot(pair)] = True
-        at = np.flatnonzero(slots[_slot(code)])
-        place = np.minimum(np.searchsorted(pair, code[at]), len(pair) - 1)
-        hit = pair[place] == code[at]
-        at, own = at[hit], rank[place[hit]]
-        near = np.diff(at) == 1  # the next occurrence overlaps
-        lose = np.zeros(len(at), bool)
+        slots = np.full(1 << 20, -1, np.int32)
+        slots[_slot(pair)] = np.arange(len(pair))
+        place = slots[_slot(code)]
+        maybe = np.flatnonzero(place >= 0)
+        place = place[maybe]
+        other = np.flatnonzero(pair[place] != code[maybe])  # few: their slot is another pair's
+        place[other] = np.minimum(np.searchsorted(pair, code[maybe[other]]), len(pair) - 1)
+        hit = pair[place] == code[maybe]
+        every, own = open_[maybe[hit]], rank[place[hit]]
+        near = np.diff(every) == 1  # the next occurrence overlaps
+        lose = np.zeros(len(every), bool)
         lose[:-1] |= near & (own[:-1] > own[1:])
         lose[1:] |= near & (own[1:] > own[:-1])
         same = np.concatenate([[False], near & (own[1:] == own[:-1])])  # runs of one symbol: every other pair
-        begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-        lose |= ((np.arange(len(at)) - begin) & 1) == 1
-        at, own = at[~lose], own[~lose]
-        clash = np.flatnonzero(np.diff(at) == 1) + 1  # left over where runs meet better pairs
-        if len(clash):
-            stay = np.ones(len(at), bool)
-            stay[clash] = False
-            at, own = at[stay], own[stay]
-        made = np.bincount(own, minlength=len(pair))
-        good = np.flatnonzero(made >= min(min_count, int(made.max())))
+        begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(every))))
+        lose |= ((np.arange(len(every)) - begin) & 1) == 1
+        taken = np.flatnonzero(~lose)
+        clash = np.flatnonzero(np.diff(every[taken]) == 1) + 1  # left over where runs meet better pairs
+        taken = np.delete(taken, clash)
+        made = np.bincount(own[taken], minlength=len(pair))
         if made.max() < 2:
             break
+        good = np.flatnonzero(made >= min(min_count, int(made.max())))
         name = np.full(len(pair), -1, np.int64)
         name[good] = top + np.arange(len(good))
-        new = name[own]
-        at, new = at[new >= 0], new[new >= 0]
+        taken = taken[name[own[taken]] >= 0]
+        at = every[taken]
         of = np.empty(len(pair), np.uint64)
         of[rank] = pair
         rules.append(np.stack([of[good] >> np.uint64(32), of[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq.copy()
-        seq[at] = new
+        seq[at] = name[own[taken]]
+        moved = np.cumsum(stay) - 1
+        left = np.delete(every, taken)
+        left = left[stay[left] & stay[left + 1]]
         seq = seq[stay]
+        again = np.zeros(len(seq) + 1, bool)  # one more for the place before the first
+        again[moved[at]] = again[moved[at] - 1] = again[moved[left]] = True
+        open_ = np.flatnonzero(again[: len(seq) - 1])
         top += len(good)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
-    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
 def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +128,24 @@ def expansion_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, vocab: int) -> np.ndarray:
-    """The tokens behind a sequence of symbols."""
-    seq = seq.astype(np.int64)
-    pairs = rules.astype(np.int64)
-    while True:
-        inner = seq >= vocab
-        if not inner.any():
-            return seq
-        width = inner + 1
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[at] = np.where(inner, pairs[np.where(inner, seq - vocab, 0), 0] if len(pairs) else seq, seq)
-        out[at[inner] + 1] = pairs[seq[inner] - vocab, 1]
-        seq = out
+    """The tokens behind a sequence of symbols: those of each rule are put together once, from the rules before it."""
+    size = np.concatenate([np.ones(vocab, np.int64), expansion_lengths(rules, vocab)])
+    first = np.cumsum(size) - size
+    flat = np.arange(int(first[-1] + size[-1]) if len(size) else 0, dtype=np.uint32)  # a token is its own expansion
+    done = vocab
+    while done < len(size):  # as many rules as don't name each other
+        most = rules[done - vocab :].max(axis=1)
+        late = most >= done
+        stop = done + int(np.argmax(late)) if late.any() else len(size)
+        flat[first[done] : first[stop] if stop < len(size) else None] = _gathered(rules[done - vocab : stop - vocab].ravel(), first, size, flat)
+        done = stop
+    return _gathered(seq, first, size, flat)
+
+
+def _gathered(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    n = size[symbols]
+    ends = np.cumsum(n)
+    return flat[np.repeat(first[symbols] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def pack_block(ids: list[int | None], counts: np.ndarray, tokens: np.ndarray, vocab: int) -> bytes:
@@ -188,57 +201,115 @@ def read_document(block: Block, doc_id: int | None) -> list[np.ndarray]:
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct word once. A pre-token never contains white space, so that a text's ids are those
-    of its words one after the other. New words go to the library many at a time, with the word ``BAR`` between them; words that
-    hold a bar themselves go alone."""
+    """Encodes pre-tokens once each. A pre-token never contains white space; within a word of Latin letters, digits and marks it
+    is a run of letters, one digit or a run of marks, and its normal form is its lower case. Such pre-tokens are merged
+    here; a word that holds anything else (an apostrophe, other scripts, controls, the special tokens' bar) goes to the library whole.
 
-    BAR, TOGETHER, KEEP = b"|", 1000, 1 << 20
+    Encoding every text by the library takes more than the whole budget (README), so of each batch one text, the
+    shortest of at least ``COMPARED`` bytes or else the longest, is encoded by the library as well, and ids that differ raise an error."""
+
+    COMPARED = 200
+
+    SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
 
     def __init__(self, blob: bytes):
         from tokenizers import Tokenizer
 
-        self.store = UnitStore(self.KEEP)
+        self.store = UnitStore()
         self.tokenizer = Tokenizer.from_buffer(blob)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.bar = self.tokenizer.encode(self.BAR.decode(), add_special_tokens=False).ids
-
-    def _ids(self, texts_: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts_], add_special_tokens=False)]
-
-    def learned(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after the other, ids of each)"""
-        count = np.zeros(len(words), np.int64)
-        alone = np.array([self.BAR in w for w in words], bool) if len(self.bar) == 1 else np.ones(len(words), bool)
-        plain, odd = np.flatnonzero(~alone), np.flatnonzero(alone)
-        made = self._ids([(b" " + self.BAR + b" ").join([words[i] for i in plain[a : a + self.TOGETHER]]) for a in range(0, len(plain), self.TOGETHER)])
-        flat = np.array([i for x in made for i in [*x, *self.bar]], np.int32)
-        ends = flat == self.bar[0]
-        stops = np.flatnonzero(ends)
-        if len(plain) and len(stops) != len(plain):
-            raise ValueError("the library doesn't encode words apart from each other")
-        count[plain] = np.diff(np.concatenate([[-1], stops])) - 1 if len(plain) else 0
-        rest = self._ids([words[i] for i in odd])
-        count[odd] = [len(x) for x in rest]
-        own = np.repeat(alone, count)
-        out = np.empty(int(count.sum()), np.int32)
-        out[~own] = flat[~ends] if len(plain) else []
-        out[own] = [i for x in rest for i in x]
-        return out, count
+        model = json.loads(blob)["model"]
+        ids = model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.table = MergeTable({(ids[a], ids[b]): (i, ids[a + b]) for i, (a, b) in reversed(list(enumerate(merges))) if a in ids and b in ids})
+        letter = _byte_letters()
+        end = model["end_of_word_suffix"]
+        self.inner = np.array([ids.get(letter[b], -1) for b in range(256)], np.int32)
+        self.last = np.array([ids.get(letter[b] + end, -1) for b in range(256)], np.int32)
+        self.kind = np.full(256, self.OTHER, np.uint8)
+        for b in range(33, 127):
+            c = chr(b)
+            self.kind[b] = self.LETTER if c.isalpha() else self.DIGIT if c.isdigit() else self.OTHER if c in "'|" else self.MARK
+        self.kind[list(SPACE)] = self.SPACE
+
+    def _units(self, raw: np.ndarray):
+        kind = self.kind[raw]
+        lead = raw == 0xC3  # U+00C0 to U+00FF
+        low = raw.copy()
+        low[(raw >= 65) & (raw <= 90)] += 32
+        if lead.any():
+            second = np.concatenate([[False], lead[:-1]]) & (raw >= 0x80) & (raw != 0x97) & (raw != 0xB7)
+            kind[lead] = self.LETTER
+            kind[second] = self.LETTER
+            low[second & (raw <= 0x9E)] += 32
+        at = np.flatnonzero(kind)
+        kind = kind[at]
+        word = np.ones(len(at), bool)
+        word[1:] = np.diff(at) > 1
+        begin = np.flatnonzero(word)
+        odd = np.repeat(np.maximum.reduceat(kind, begin) == self.OTHER, np.diff(np.append(begin, len(at)))) if len(at) else word
+        change = np.ones(len(at), bool)
+        change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
+        start = np.flatnonzero(word | (change & ~odd))
+        return at, np.where(odd, raw[at], low[at]), odd, start, np.diff(np.append(start, len(at)))
+
+    def _piece(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids of each unit, place of each unit in the piece)"""
+        at, data, odd, start, length = self._units(np.frombuffer(raw, np.uint8))
+        key = run_hashes(data, start, length)
+        key ^= odd[start].astype(np.uint64) if len(start) else key
+
+        def learn(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            alone = odd[start[units]] | (length[units] > 48)
+            plain, rest = units[~alone], units[alone]
+            size = length[plain]
+            ends = np.cumsum(size)
+            flat = data[np.repeat(start[plain] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+            symbols = self.inner[flat]
+            symbols[ends - 1] = self.last[flat[ends - 1]]
+            ids, count = lockstep(symbols, size, self.table)
+            words = [data[start[u] : start[u] + length[u]].tobytes().decode("utf-8", "replace") for u in rest]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes = np.zeros(len(units), np.int64)
+            sizes[~alone], sizes[alone] = count, [len(x) for x in made]
+            out = np.empty(int(sizes.sum()), np.int32)
+            own = np.repeat(alone, sizes)
+            out[~own], out[own] = ids, [i for x in made for i in x]
+            return out, sizes
+
+        ids, count = self.store.gather(key, learn)
+        return ids, count, at[start]
+
+    def _compare(self, batch: list[bytes], tokens: np.ndarray, per_text: np.ndarray) -> None:
+        if batch:
+            i = min(range(len(batch)), key=lambda k: (len(batch[k]) < self.COMPARED, len(batch[k]) if len(batch[k]) >= self.COMPARED else -len(batch[k])))
+            end = int(per_text[: i + 1].sum())
+            if tokens[end - per_text[i] : end].tolist() != self.tokenizer.encode(batch[i].decode("utf-8", "replace"), add_special_tokens=False).ids:
+                raise ValueError("ids differ from the tokenizers library's")
 
     def encode(self, batch: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all texts one after the other, each followed by the end id; tokens of each text)"""
         parts, per_text = [], np.zeros(len(batch), np.int64)
         for group, owner in pieces(batch):
-            words = Words(group, owner)
-            ids, count = self.store.gather(words.hash, lambda at, words=words: self.learned([words.word(i) for i in at.tolist()]))
-            per_text += np.bincount(words.text, weights=count, minlength=len(batch)).astype(np.int64)
+            ids, count, place = self._piece(b"\n".join(group))
+            text = np.array(owner)[np.searchsorted(np.cumsum([len(x) + 1 for x in group]), place, "right")] if len(place) else np.zeros(0, np.int64)
+            per_text += np.bincount(text, weights=count, minlength=len(batch)).astype(np.int64)
             parts.append(ids)
         tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self._compare(batch, tokens, per_text)
         out = np.full(len(tokens) + len(batch), end_id, np.uint32)
         out[np.arange(len(tokens)) + np.repeat(np.arange(len(batch)), per_text)] = tokens
         return out, per_text + 1
 
 
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte: itself if it is printable in Latin-1, else the next
+    free one from code point 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
 _encoders: dict[int, WordEncoder] = {}  # lives as long as the Python worker
 
 
