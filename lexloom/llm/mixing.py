@@ -97,7 +97,7 @@ class Mix:
 
     def __init__(self, rows: DataFrame, root: str, shards: int = SHARDS, seed: int = SEED):
         """rows: doc_id, source, size."""
-        self.n_blocks = blocks_of(rows.count())
+        self.rows, self.n_blocks = rows, blocks_of(rows.count())
         rows = keyed(rows, seed, self.n_blocks)
         block = written(rows.groupBy(*_KEY, "_lx_block").agg(F.sum("size").alias("words")), f"{root}/blocks")
         sources = block.groupBy(*_KEY).agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("blocks"))
@@ -147,20 +147,36 @@ class Mix:
 
     def applied(self, docs: DataFrame) -> DataFrame:
         """The rows with _lx_shards (where each copy goes) and _lx_copies (how often the mix takes them) behind their own columns."""
-        own = docs.columns
         found = self._joined(docs)
-        shards = F.concat(F.coalesce(F.expr("transform(_lx_passes, p -> p.shard)"), F.expr("cast(array() as array<int>)")), F.when(F.col("_lx_single").isNotNull(), F.array("_lx_single")).otherwise(F.expr("cast(array() as array<int>)")))
-        return found.select(*[F.col(f"`{c}`") for c in own], shards.alias("_lx_shards")).withColumn("_lx_copies", F.size("_lx_shards"))
+        return found.select(*[F.col(f"`{c}`") for c in docs.columns], self._shards().alias("_lx_shards")).withColumn("_lx_copies", F.size("_lx_shards"))
+
+    def assigned(self) -> DataFrame:
+        """(source's key, document's key, _lx_shards) of every document that the mix takes."""
+        found = self._joined(self.rows).select(*_DOCUMENT, self._shards().alias("_lx_shards"))
+        return found.where(F.size("_lx_shards") > 0).dropDuplicates(_DOCUMENT)
+
+    @staticmethod
+    def _shards():
+        none = F.expr("cast(array() as array<int>)")
+        return F.concat(F.coalesce(F.expr("transform(_lx_passes, p -> p.shard)"), none), F.when(F.col("_lx_single").isNotNull(), F.array("_lx_single")).otherwise(none))
 
     def _joined(self, docs: DataFrame) -> DataFrame:
-        singles = self.singles.select(*_KEY, F.col("doc_id").isNull().alias("_lx_none"), F.coalesce("doc_id", F.lit(0)).alias("_lx_doc"), "_lx_single")
-        own = keyed(docs, self.seed, self.n_blocks).withColumns({"_lx_none": F.col("doc_id").isNull(), "_lx_doc": F.coalesce("doc_id", F.lit(0))})
-        return own.join(self.blocks.hint("merge"), [*_KEY, "_lx_block"], "left").join(singles.hint("merge"), [*_KEY, "_lx_none", "_lx_doc"], "left")
+        singles = _named(self.singles).select(*_DOCUMENT, "_lx_single")
+        return _named(keyed(docs, self.seed, self.n_blocks)).join(self.blocks.hint("merge"), [*_KEY, "_lx_block"], "left").join(singles.hint("merge"), _DOCUMENT, "left")
+
+
+_DOCUMENT = [*_KEY, "_lx_none", "_lx_doc"]
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_lx_none": F.col("doc_id").isNull(), "_lx_doc": F.coalesce("doc_id", F.lit(0))})
 
 
 def mixed_rows(docs: DataFrame, mix: Mix) -> DataFrame:
     """The mix itself: each row as often as it is taken, with its _lx_shard and _lx_copy; rows are dealt to partitions by a hash of shard, document and copy
-    and stand in the hash's order there, so that a shard of any size is shuffled without coming together in one task."""
-    taken = mix.applied(docs).where(F.col("_lx_copies") > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("_lx_shards").alias("_lx_copy", "_lx_shard"))
+    and stand in the hash's order there, so that a shard of any size is shuffled without coming together in one task. Whole rows are only
+    moved to meet their assignment and to be dealt out."""
+    found = _named(keyed(docs, mix.seed, mix.n_blocks)).join(mix.assigned().hint("merge"), _DOCUMENT)
+    taken = found.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("_lx_shards").alias("_lx_copy", "_lx_shard"))
     order = F.xxhash64(F.lit(mix.seed + 5), "_lx_shard", "doc_id", "_lx_copy")
     return taken.repartition(order).sortWithinPartitions("_lx_shard", order, "doc_id")
