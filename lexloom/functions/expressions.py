@@ -25,26 +25,52 @@ class ExpressionError(ValueError):
     pass
 
 
-def _round(x, places):
-    places = int(places)
-    if places == 0 and abs(x) % 1 == 0.5:
-        x = math.copysign(abs(x) + 0.5, x)  # halves go away from zero
-    x = round(x, places)
-    return int(x) if int(x) == x else x
-
-
-_INFIX = {
-    "e": (11, lambda a, b: a * 10**b), "^": (10, math.pow),
-    "*": (8, lambda a, b: a * b), "/": (8, lambda a, b: a / b), "div": (8, lambda a, b: a / b), "mod": (8, lambda a, b: int(a) % int(b)),
-    "+": (6, lambda a, b: a + b), "-": (6, lambda a, b: a - b), "round": (5, _round),
-    "<": (4, lambda a, b: int(a < b)), ">": (4, lambda a, b: int(a > b)), "<=": (4, lambda a, b: int(a <= b)), ">=": (4, lambda a, b: int(a >= b)),
-    "!=": (4, lambda a, b: int(a != b)), "<>": (4, lambda a, b: int(a != b)), "=": (4, lambda a, b: int(a == b)),
-    "and": (3, lambda a, b: int(bool(a) and bool(b))), "or": (2, lambda a, b: int(bool(a) or bool(b))),
-}
-_PREFIX = {
-    "-": (10, lambda a: -a), "+": (10, lambda a: a), "not": (9, lambda a: int(not a)), "abs": (9, abs), "sin": (9, math.sin), "cos": (9, math.cos), "asin": (9, math.asin),
-    "acos": (9, math.acos), "tan": (9, math.tan), "atan": (9, math.atan), "exp": (9, math.exp), "ln": (9, math.log), "ceil": (9, math.ceil), "floor": (9, math.floor), "trunc": (9, int),
-}
+#: Fixed values of the language: operators by rank, those between two operands and those before one.
+INFIX_RANKS = {11: "e", 10: "^", 8: "* / div mod", 6: "+ -", 5: "round", 4: "< > <= >= != <> =", 3: "and", 2: "or"}
+PREFIX_RANKS = {10: "+ -", 9: "not abs sin cos asin acos tan atan exp ln ceil floor trunc"}
+
+_INFIX = {name: rank for rank, names in INFIX_RANKS.items() for name in names.split()}
+_PREFIX = {name: rank for rank, names in PREFIX_RANKS.items() for name in names.split()}
+
+
+def _between(name: str, a, b):
+    """The value of two operands; comparisons and logic give 1 or 0."""
+    if name in "+-":
+        return a + b if name == "+" else a - b
+    if name in ("*", "/", "div"):
+        return a * b if name == "*" else a / b
+    if name == "mod":  # of the whole parts
+        return int(a) % int(b)
+    if name == "^":
+        return math.pow(a, b)
+    if name == "e":
+        return a * 10**b
+    if name == "round":
+        return _rounded(a, int(b))
+    if name in ("and", "or"):
+        return int(bool(a) + bool(b) >= (2 if name == "and" else 1))
+    order = (a > b) - (a < b)
+    equal = a == b  # not the same as order == 0: nothing equals NaN
+    return int({"=": equal, "!=": not equal, "<>": not equal, "<": order < 0, ">": order > 0, "<=": order < 0 or equal, ">=": order > 0 or equal}[name])
+
+
+def _before(name: str, a):
+    if name == "-":
+        return -a
+    if name == "not":
+        return 0 if a else 1
+    if name == "ln":
+        return math.log(a)
+    return a if name == "+" else abs(a) if name == "abs" else getattr(math, name)(a)
+
+
+def _rounded(x, places: int):
+    """To some places, without any half away from zero; a whole result is an integer."""
+    if places:
+        near = round(x, places)
+    else:
+        near = x if x == int(x) else math.copysign(math.floor(abs(x) + 0.5), x)
+    return int(near) if near == int(near) else near
 
 
 def _tokens(text: str) -> list[str | int | float]:
@@ -84,8 +110,7 @@ def evaluate(text: str) -> int | float | str:
         if token in _CONSTANT:
             return _CONSTANT[token]
         if token in _PREFIX:
-            rank, apply = _PREFIX[token]
-            return apply(climb(rank + 1))
+            return _before(token, climb(_PREFIX[token] + 1))
         raise ExpressionError(f"unexpected {token}" if token in _INFIX or token == ")" else f"unknown operator: {token}")
 
     def climb(least: int):
@@ -96,11 +121,11 @@ def evaluate(text: str) -> int | float | str:
                 raise ExpressionError("expected operator")
             if token not in _INFIX:
                 raise ExpressionError(f"unexpected {token}" if token in _PREFIX else f"unknown operator: {token}")
-            rank, apply = _INFIX[token]
+            rank = _INFIX[token]
             if rank < least:
                 break
             at += 1
-            left = apply(left, climb(rank + 1))
+            left = _between(token, left, climb(rank + 1))
         return left
 
     value = climb(0)

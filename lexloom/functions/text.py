@@ -30,9 +30,13 @@ def ucfirst(s):
     return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
 
 
+#: No text is padded beyond this; a width of any size has a result.
+WIDEST = 256 * 1024
+
+
 def _width(width) -> Column:
     text = F.trim(col(width).cast("string"))
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+    return F.when(text.rlike(r"^[+-]?\d+$"), F.least(text.try_cast("decimal(38,0)"), F.lit(WIDEST)).cast("int"))
 
 
 def padleft(s, width, fill="0"):

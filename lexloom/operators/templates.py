@@ -10,6 +10,7 @@ a bundle of just these; names that only come up during evaluation are reported b
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import html
 import re
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions import titles
 from ..functions.expressions import expr, roman, truth
+from ..functions.text import WIDEST
+from ..session import dealt
 
 RECURSION, LONGEST = 100, 256 * 1024
 #: Templates are broadcast up to this many bytes in all.
@@ -455,7 +458,7 @@ def _displaytitle(e, v):
 
 def _fill(text: str, width: str, fill: str) -> str:
     n = _numeric(width)
-    missing = n - len(text) if isinstance(n, int) else 0
+    missing = min(n, WIDEST) - len(text) if isinstance(n, int) else 0
     return (fill * (missing // len(fill) + 1))[:missing] if missing > 0 else ""
 
 
@@ -512,14 +515,17 @@ def parse_date(text: str, clock: dt.datetime) -> dt.datetime | None:
                 found = dt.datetime.strptime(bare, fmt)
             except ValueError:
                 continue
-    if found is not None and tail:
-        n = int(tail[2]) * (-1 if tail[1] == "-" else 1)
+    if found is None or not tail:
+        return found
+    n = int(tail[2][:12]) * (-1 if tail[1] == "-" else 1)
+    try:
         if tail[3] in _UNITS:
-            found += dt.timedelta(**{_UNITS[tail[3]]: n})
-        else:
-            months = found.year * 12 + found.month - 1 + n * (12 if tail[3] == "year" else 1)
-            found = found.replace(year=months // 12, month=months % 12 + 1)
-    return found
+            return found + dt.timedelta(**{_UNITS[tail[3]]: n})
+        months = found.year * 12 + found.month - 1 + n * (12 if tail[3] == "year" else 1)
+        year, month = months // 12, months % 12 + 1
+        return found.replace(year=year, month=month, day=min(found.day, calendar.monthrange(year, month)[1]))  # the last day of a shorter month
+    except (OverflowError, ValueError, IndexError):  # beyond the years 1 to 9999
+        return None
 
 
 @_simple("#time")
@@ -600,6 +606,8 @@ def _rows(site: Site, shared):
                     made = None if text is None else e.expand(text)
                 except RecursionError:
                     made = '<strong class="error">expansion too deep</strong>'
+                except (ValueError, LookupError, OverflowError, MemoryError, TypeError, AttributeError) as error:  # one page, not the table
+                    made = f'<strong class="error">{type(error).__name__}</strong>'
                 out.append({"page_id": row["page_id"], "title": row["title"], "text": made, "missing": list(e.missing), "displaytitle": e.title})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("page_id", pa.string()), ("title", pa.string()), ("text", pa.string()), ("missing", pa.list_(pa.string())), ("displaytitle", pa.string())]))
 
@@ -624,12 +632,12 @@ def edges(texts: DataFrame, site: Site | None = None) -> DataFrame:
     return texts.mapInArrow(_names(site or Site()), "source string, template string").distinct()
 
 
-def closure(pages: DataFrame, templates: DataFrame, site: Site | None = None, depth: int = 10) -> DataFrame:
+def closure(pages: DataFrame, templates: DataFrame, site: Site | None = None) -> DataFrame:
     """(page_id, template): everything a page may call, directly or through templates."""
     direct = edges(pages.select("page_id", "rawtext"), site).select(F.col("source").alias("page_id"), "template")
     between = edges(templates.select("name", "body"), site).select(F.col("source").alias("caller"), F.col("template").alias("called"))
     found = fresh = direct
-    for _ in range(depth):
+    while True:  # ends: a page can call each template once at most
         fresh = fresh.join(between, F.col("template") == F.col("caller")).select("page_id", F.col("called").alias("template")).distinct().join(found, ["page_id", "template"], "left_anti").checkpoint()
         if fresh.isEmpty():
             break
@@ -637,23 +645,22 @@ def closure(pages: DataFrame, templates: DataFrame, site: Site | None = None, de
     return found
 
 
-def expand_pages(pages: DataFrame, templates: DataFrame, site: Site | None = None, broadcast_bytes: int = BROADCAST_BYTES, rounds: int = 10) -> DataFrame:
+def expand_pages(pages: DataFrame, templates: DataFrame, site: Site | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, title, text, missing, displaytitle for (page_id, title, rawtext), with templates (name: the full name, body)."""
     site, spark = site or Site(), pages.sparkSession
     pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "title", "rawtext")
     size = templates.agg(F.sum(F.octet_length("body") + F.octet_length("name"))).first()[0] or 0
     if size <= broadcast_bytes:
         shared = spark.sparkContext.broadcast({r["name"]: r["body"] for r in templates.select("name", "body").collect()})
-        return pages.mapInArrow(_rows(site, shared), _OUT)
+        return dealt(pages).mapInArrow(_rows(site, shared), _OUT)
     need = closure(pages, templates, site)
-    for _ in range(rounds):
+    while True:  # ends: each round but the last adds templates that exist
         bundles = need.join(templates.select(F.col("name").alias("template"), "body"), "template").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("template", "body"))).alias("bundle"))
         made = pages.join(bundles, "page_id", "left").mapInArrow(_rows(site, None), _OUT).checkpoint()
         more = made.select("page_id", F.explode("missing").alias("template")).join(templates.select(F.col("name").alias("template")), "template", "left_semi").select("page_id", "template")
         if more.isEmpty():
             return made
-        need = need.unionByName(more).distinct()
-    return made
+        need = need.unionByName(more).distinct().checkpoint()
 
 
 def call_arguments(text: str, name: str) -> dict[str, str] | None:

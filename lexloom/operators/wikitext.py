@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import titles
 from ..functions.markup import ALLOWED, EMPTY
+from ..session import dealt
 from .templates import Tags, unescape
 
 #: Documents deeper than this are cut to text there.
@@ -39,12 +40,15 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
     def text(self) -> str:
-        return self.caption if self.cls == "Text" else "".join(c.text() for c in self.children)
+        return "".join(n.caption for n in self.walk() if n.cls == "Text")
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for c in self.children:
-            yield from c.walk()
+        """Itself and all nodes below, in pre-order; without recursion, so that no tree is too deep."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += node.children[::-1]
 
     def find(self, cls: str) -> list[Node]:
         return [n for n in self.walk() if n.cls == cls]
@@ -54,25 +58,55 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): v[1:-1] if v[:1] in "\"'" else v for k, v in re.findall(r"(\w+)\s*=\s*(\"[^\"]*\"|'[^']*'|[\w%:#]+)", text or "")}
 
 
+#: Ways to read a run of apostrophes: how many stay text, and what the rest toggles. Runs over 5 are one of 5 with more text.
+_READINGS = {2: [(0, "i")], 3: [(0, "b"), (1, "i")], 4: [(1, "b"), (2, "i")], 5: [(0, "bi"), (2, "b"), (3, "i")]}
+
+
 def bold_italic(counts: list[int]) -> list[tuple[int, str]]:
-    """For runs of apostrophes in a line: (apostrophes that stay text, what the rest does: i, b, bi, ''). With an odd number of both bold and
-    italic marks one bold run becomes an apostrophe and an italic mark: the first behind a one-letter word would be, here simply the first."""
-    kinds = []
+    """For the runs of apostrophes of a line: (apostrophes that stay text, what the rest toggles: i, b, bi).
+
+    The readings with the least sum of text apostrophes and styles still open at the end, the first found among equals. That sum follows from
+    what is open, so the best way to each of the four states is all that has to be kept from run to run."""
+    best: dict[str, tuple[int, tuple]] = {"": (0, ())}
     for n in counts:
-        extra = 1 if n == 4 else max(0, n - 5)
-        kinds.append([extra, {2: "i", 3: "b", 5: "bi"}[n - extra]])
-    bold, italic = sum("b" in k for _, k in kinds), sum("i" in k for _, k in kinds)
-    if bold % 2 and italic % 2:
-        for k in kinds:
-            if k[1] == "b":
-                k[0], k[1] = k[0] + 1, "i"
-                break
-    return [(e, k) for e, k in kinds]
+        more, after = max(0, n - 5), {}
+        for state, (cost, way) in best.items():
+            for text, toggles in _READINGS[min(n, 5)]:
+                now = "".join(k for k in "bi" if (k in state) != (k in toggles))
+                if now not in after or cost + text + more < after[now][0]:
+                    after[now] = (cost + text + more, (way, (text + more, toggles)))
+        best = after
+    way = min(best.items(), key=lambda x: x[1][0] + len(x[0]))[1][1] if best else ()
+    out = []
+    while way:
+        way, step = way
+        out.append(step)
+    return out[::-1]
 
 
 _INLINE = re.compile(r"(?P<link>\[\[)|(?P<url>\[(?:https?://|ftp://|irc://|news:|mailto:|//)[^\s\]]+)|(?P<bare>\b(?:https?|ftp)://[^\s\[\]<>\"|{}\x7f]+)|(?P<quote>'{2,})|(?P<mark>\x7fTAG-\d+\x7f)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\s[^<>]*?)?)(?P<end>/?)>")
 
 
+def list_orphans(root: Node) -> None:
+    """Runs of list items that stand in no list get one."""
+    for n in list(root.walk()):
+        if n.tag in ("ul", "ol") or not any(c.tag == "li" and c.cls == "Item" for c in n.children):
+            continue
+        out: list[Node] = []
+        for c in n.children:
+            own = c.tag == "li" and c.cls == "Item"
+            blank = c.cls == "Text" and not c.caption.strip()
+            if own or (blank and out and out[-1].attrs.get("orphans")):
+                if not (out and out[-1].attrs.get("orphans")):
+                    out.append(Node("ItemList", tag="ul", attrs={"orphans": "true"}))
+                out[-1].children += [c] if own else []
+            else:
+                out.append(c)
+        n.children = out
+    for n in root.walk():
+        n.attrs.pop("orphans", None)
+
+
 class Parser:
     def __init__(self, lang: str = "en"):
         self.lang = lang
@@ -84,7 +118,8 @@ class Parser:
             return [Node("Text", text)]
         root = Node("Node")
         stack = [root]
-        runs = iter(bold_italic(self._runs(text)))
+        ends = self._ends(text)
+        runs = iter(bold_italic(self._runs(text, ends)))
         at = 0
 
         def add(node: Node) -> None:
@@ -119,7 +154,7 @@ class Parser:
             say(text[at : m.start()])
             at = m.end()
             if m["link"]:
-                end = self._link_end(text, at)
+                end = ends.get(at, -1)
                 inner = text[at:end] if end >= 0 else ""
                 if end < 0 or not inner.strip() or "\n" in inner.split("|", 1)[0]:
                     say("[[")
@@ -162,15 +197,16 @@ class Parser:
                     if name == "li" and any(n.tag == "li" for n in stack) and stack[-1].tag == "li":
                         stack.pop()
                     add(node)
-                    if not m["end"] and name not in EMPTY:
+                    if not m["end"] and name not in EMPTY and len(stack) < DEEPEST:  # a tag beyond stays without content of its own
                         stack.append(node)
         say(text[at:])
         for n in root.walk():
             if n.level == -1:
                 n.level = None
+        list_orphans(root)
         return root.children
 
-    def _runs(self, text: str) -> list[int]:
+    def _runs(self, text: str, ends: dict[int, int]) -> list[int]:
         """Lengths of the runs of apostrophes outside links."""
         out, at = [], 0
         while m := _INLINE.search(text, at):
@@ -178,7 +214,7 @@ class Parser:
             if m["quote"]:
                 out.append(len(m["quote"]))
             elif m["link"]:
-                end = self._link_end(text, at)
+                end = ends.get(at, -1)
                 inner = text[at:end] if end >= 0 else ""
                 if end >= 0 and inner.strip() and "\n" not in inner.split("|", 1)[0]:
                     at = end + 2
@@ -189,13 +225,15 @@ class Parser:
         return out
 
     @staticmethod
-    def _link_end(text: str, at: int) -> int:
-        depth = 0
-        for m in re.compile(r"\[\[|\]\]").finditer(text, at):
-            depth += 1 if m[0] == "[[" else -1
-            if depth < 0:
-                return m.start()
-        return -1
+    def _ends(text: str) -> dict[int, int]:
+        """For the inside of each link of a text where it ends; all brackets are matched at once."""
+        ends, open_ = {}, []
+        for m in re.finditer(r"\[\[|\]\]", text):
+            if m[0] == "[[":
+                open_.append(m.end())
+            elif open_:
+                ends[open_.pop()] = m.start()
+        return ends
 
     def link(self, inner: str, depth: int) -> Node:
         target, bar, label = inner.partition("|")
@@ -284,7 +322,7 @@ class Parser:
                 j = i
                 while j < len(lines) and lines[j][:1] in ("*", "#", ":", ";") and lines[j]:
                     j += 1
-                yield "block", self.items([re.match(r"([*#:;]+)\s*(.*)", x, re.S).groups() for x in lines[i:j]], 0)
+                yield "block", self.items([re.match(r"([*#:;]{1,%d})[*#:;]*\s*(.*)" % (DEEPEST // 4), x, re.S).groups() for x in lines[i:j]], 0)
                 i = j
             elif line.startswith("----"):
                 yield "block", [Node("HorizontalRule", tag="hr")]
@@ -438,7 +476,18 @@ def image_map(text: str) -> list[tuple[str, str, list[int]]]:
 
 
 def parse(text: str, lang: str = "en") -> Node:
-    return Parser(lang).parse(text)
+    return Parser(lang).parse(text.replace("\uebad", ""))
+
+
+def parsed(text: str, lang: str = "en", cleaner=None) -> Node:
+    """A text's tree whatever it holds: where parsing or cleaning fails, the text as it is, and why in the root's attributes."""
+    try:
+        tree = parse(text, lang)
+        if cleaner is not None:
+            cleaner(tree)
+        return tree
+    except (RecursionError, ValueError, LookupError, AttributeError, OverflowError, TypeError) as error:
+        return Node("Article", attrs={"failed": f"{type(error).__name__}: {error}"[:200]}, children=[Node("Text", text)])
 
 
 def numbered(root: Node) -> list[dict]:
@@ -460,20 +509,27 @@ NODES = "doc_id string, node_id int, parent int, post int, depth int, ord int, c
 _ARROW = pa.schema([("doc_id", pa.string()), *((n, pa.int32()) for n in ("node_id", "parent", "post", "depth", "ord")), ("class", pa.string()), ("caption", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("level", pa.int32()), ("target", pa.string()), ("ns", pa.int32())])
 
 
-def parse_pages(pages: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "en", cleaner=None) -> DataFrame:
-    """Node rows of a table of texts; ``cleaner`` may change each tree before it is numbered."""
+def parse_pages(pages: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "en", cleaner=None, columns: list[str] | None = None) -> DataFrame:
+    """Node rows of a table of texts; ``cleaner`` may change each tree before it is numbered, ``columns`` names those wanted besides the key.
+
+    Parsing costs far more than reading, so a table of few partitions is dealt out first. A text that can't be parsed is one
+    text below a root that says why (attribute ``failed``)."""
+    wanted = _ARROW.names if columns is None else ["doc_id", *columns]
+    schema = pa.schema([_ARROW.field(n) for n in wanted])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {n: [] for n in wanted}
         for batch in batches:
-            out: list[dict] = []
             for key_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree = parse(raw or "", lang)
-                if cleaner is not None:
-                    cleaner(tree)
-                out += [{"doc_id": key_, **r} for r in numbered(tree)]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_pylist(out, _ARROW)
-                    out = []
-            yield pa.RecordBatch.from_pylist(out, _ARROW)
-
-    return pages.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, NODES)
+                rows = numbered(parsed(raw or "", lang, cleaner))
+                held["doc_id"] += [key_] * len(rows)
+                for n in wanted[1:] if wanted[0] == "doc_id" else wanted:
+                    held[n] += [r[n] for r in rows]
+                if len(held["doc_id"]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[n], schema.field(n).type) for n in wanted], schema=schema)
+                    held = {n: [] for n in wanted}
+        yield pa.RecordBatch.from_arrays([pa.array(held[n], schema.field(n).type) for n in wanted], schema=schema)
+
+    rows = pages.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    types = dict(c.split(" ", 1) for c in NODES.split(", "))
+    return dealt(rows).mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in wanted))

@@ -1,6 +1,6 @@
 """Session defaults: what the engine's plans count on, for local tests and for clusters."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Partition sizes suit executors with a few GB a core; adaptive execution splits skewed joins and merges small partitions.
 DEFAULTS = {
@@ -17,3 +17,9 @@ DEFAULTS = {
 def session(master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.config(map=DEFAULTS | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows for a costly Python stage: at least a partition for each core."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

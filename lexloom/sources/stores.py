@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MARK = "\n --page-- "
@@ -100,29 +100,45 @@ def read_metabook(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METABOOK).option("multiLine", True).json(path)
 
 
-#: Patterns of a collection page's lines, in this order.
-BOOK_LINES = (
-    ("title", r"^==([^=].*?[^=])==$"), ("subtitle", r"^===([^=].*?[^=])===$"), ("chapter", r"^;(.+?)$"), ("article", r"^:\[\[:?([^\]|]+?)(?:\|(.*?))?\]\]$"),
-    ("oldarticle", r"^:\[\{\{fullurl:(.+?)\|oldid=(.*?)\}\}(.*?)\]$"), ("template", r"^\{\{(.*?)\}\}$"),
-)
+def _framed(line, start: str, end: str):
+    """(whether a line has this start and end and something between them, what lies between them)"""
+    inner = F.substring(line, len(start) + 1, 1 << 30)
+    inner = F.substring(inner, F.lit(1), F.length(inner) - len(end))
+    return F.startswith(line, F.lit(start)) & F.endswith(line, F.lit(end)) & (F.length(line) > len(start) + len(end)), inner
+
+
+def book_line(line):
+    """struct(type, title, displaytitle, revision) of a line of a collection's page: headings, ``;`` chapters, ``:[[ ]]`` articles, ``:[ ]`` links to old
+    revisions and templates; every other line is summary. A link's parts are told by the first bar."""
+    none = F.lit(None).cast("string")
+    made = lambda kind, title, shown=none, revision=none: F.struct(F.lit(kind).alias("type"), F.trim(title).alias("title"), F.nullif(F.trim(shown), F.lit("")).alias("displaytitle"), revision.alias("revision"))
+    signs = F.length(line) - F.length(F.ltrim(line, F.lit("=")))
+    behind = F.length(line) - F.length(F.rtrim(line, F.lit("=")))
+    heading = (signs == behind) & (F.length(line) > 2 * signs)
+    text = F.trim(line, F.lit("="))
+    linked, link = _framed(line, ":[[", "]]")
+    link = F.regexp_replace(link, "^:", "")
+    target = F.substring_index(link, "|", 1)
+    label = F.when(F.contains(link, F.lit("|")), F.substring(link, F.length(target) + 2, F.lit(1 << 30)))
+    dated, old = _framed(line, ":[{{fullurl:", "]")
+    call, after = F.substring_index(old, "}}", 1), F.substring_index(old, "}}", -1)
+    name = F.substring_index(call, "|oldid=", 1)
+    called, inner = _framed(line, "{{", "}}")
+    return (
+        F.when(heading & (signs == 2), made("title", text)).when(heading & (signs == 3), made("subtitle", text))
+        .when(F.startswith(line, F.lit(";")) & (F.length(line) > 1), made("chapter", F.substring(line, 2, 1 << 30)))
+        .when(linked & (F.length(target) > 0) & ~F.contains(target, F.lit("]")), made("article", target, label))
+        .when(dated & F.contains(call, F.lit("|oldid=")) & F.contains(old, F.lit("}}")), made("oldarticle", name, after, F.substring(call, F.length(name) + 8, F.lit(1 << 30))))
+        .when(called, made("template", inner)).otherwise(made("summary", line))
+    )
 
 
 def parse_collection_pages(pages: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, line_no, type, title, displaytitle, revision, chapter_no) of collections written as pages; lines that are nothing else are summary."""
-    from pyspark.sql import Window
-
     lines = pages.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where(F.col("line") != "")
-    kind = title = None
-    for name, pattern in BOOK_LINES:
-        test = F.col("line").rlike(pattern)
-        kind = F.when(test, F.lit(name)) if kind is None else kind.when(test, F.lit(name))
-        value = F.trim(F.regexp_extract("line", pattern, 1))
-        title = F.when(test, value) if title is None else title.when(test, value)
-    article, old = dict(BOOK_LINES)["article"], dict(BOOK_LINES)["oldarticle"]
-    shown = F.when(F.col("type") == "article", F.nullif(F.trim(F.regexp_extract("line", article, 2)), F.lit(""))).when(F.col("type") == "oldarticle", F.nullif(F.trim(F.regexp_extract("line", old, 3)), F.lit("")))
-    typed = lines.withColumn("type", kind.otherwise(F.lit("summary"))).withColumn("title", title.otherwise(F.col("line")))
+    typed = lines.select(key, "line_no", book_line(F.col("line")).alias("b")).select(key, "line_no", "b.*")
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return typed.select(key, "line_no", "type", "title", shown.alias("displaytitle"), F.when(F.col("type") == "oldarticle", F.regexp_extract("line", old, 2)).alias("revision"), F.sum(F.when(F.col("type") == "chapter", 1).otherwise(0)).over(w).alias("chapter_no"))
+    return typed.withColumn("chapter_no", F.sum(F.when(F.col("type") == "chapter", 1).otherwise(0)).over(w))
 
 
 def open_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
