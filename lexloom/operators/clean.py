@@ -21,13 +21,12 @@ INVALID_FILES = (".ogg", ".oga", ".ogv", ".webm", ".mid")
 
 def _map(node: Node, change: Callable[[Node, Node], list[Node] | None]) -> None:
     """Replaces children from below; ``change(node, parent)`` gives the replacement or None."""
-    for child in list(node.children):
-        _map(child, change)
-    out: list[Node] = []
-    for child in node.children:
-        new = change(child, node)
-        out += [child] if new is None else new
-    node.children = out
+    for parent in reversed(list(node.walk())):  # a node comes behind its ancestors in pre-order
+        out: list[Node] = []
+        for child in parent.children:
+            new = change(child, parent)
+            out += [child] if new is None else new
+        parent.children = out
 
 
 def _classes(n: Node) -> set[str]:
@@ -459,6 +458,48 @@ def mark_short_paragraphs(root, characters: int = 80):
     inside(root, False)
 
 
+def move_paragraphs(root):
+    """A paragraph behind a section goes to the end of that section's last subsection, or of the section itself."""
+    for n in list(root.walk()):
+        out: list[Node] = []
+        for c in n.children:
+            if c.cls == "Paragraph" and out and out[-1].cls == "Section":
+                into = out[-1]
+                while into.children and into.children[-1].cls == "Section":
+                    into = into.children[-1]
+                into.children.append(c)
+            else:
+                out.append(c)
+        n.children = out
+
+
+def merge_region_tables(root):
+    """All rows of a list of regions stand in one table."""
+    for n in root.find("Div"):
+        if n.attrs.get("id") == "region_list":
+            rows = n.find("Row")
+            n.children = [c for c in n.children if c.cls != "Table"] + ([Node("Table", tag="table", children=rows)] if rows else [])
+
+
+def unnest_last_cells(root, rows: int = 20):
+    """What a table's last cell holds comes behind the table, if the cell has a row of its own, is as wide as the table and holds a long table."""
+
+    def change(n, p):
+        body = [r for r in n.children if r.cls == "Row"]
+        if n.cls != "Table" or not body or len(body[-1].children) != 1:
+            return None
+        cell, width = body[-1].children[0], max(sum(_span(c) for c in r.children) for r in body)
+        if _span(cell) != width or not any(t.cls == "Table" and len(t.children) > rows for t in cell.walk()):
+            return None
+        moved = Node("Div", tag="div", attrs=dict(cell.attrs), children=cell.children)
+        cell.children = []
+        return [n, moved]
+
+    for table, parent in _outermost(root, "Table"):
+        if parent is not None:
+            parent.children = [x for c in parent.children for x in ((change(c, parent) or [c]) if c is table else [c])]
+
+
 def remove_boilerplate(root):
     _map(root, lambda n, p: [] if n.cls == "Div" and any("boilerplate" in c for c in _classes(n)) else None)
 
@@ -476,8 +517,8 @@ def merge_texts(root):
 
 STEPS: list[Callable[[Node], None]] = [
     remove_boilerplate, merge_texts, lower_attributes, mark_infoboxes, remove_edit_links, remove_empty_texts, remove_invisible_links, clean_section_captions, remove_childless, remove_no_print,
-    unwrap_list_paragraphs, remove_invalid_files, simplify_blocks, remove_absolute, remove_scrolling, move_galleries, remove_train_templates, fix_nesting, remove_childless,
-    unwrap_critical_tables, remove_textless_styles, remove_broken_children, fix_colspans, remove_trailing_rows, split_list_rows, single_column_tables, tables_to_columns, linearize_wide,
+    unwrap_list_paragraphs, remove_invalid_files, move_paragraphs, simplify_blocks, remove_absolute, remove_scrolling, move_galleries, merge_region_tables, remove_train_templates, fix_nesting, remove_childless,
+    unnest_last_cells, unwrap_critical_tables, remove_textless_styles, remove_broken_children, fix_colspans, remove_trailing_rows, split_list_rows, single_column_tables, tables_to_columns, linearize_wide,
     remove_breaks, remove_empty_reference_lists, swap_nodes, remove_big_sections_from_cells, unwrap_container_tables, split_big_cells, limit_captions, remove_repeated_links, fix_lists, fix_sub_sup,
     unwrap_leading_paragraphs, remove_childless, fold_newlines, remove_breaks, remove_see_also, build_definition_lists, restrict_children, fix_references, remove_broken_children, mark_math,
     fix_nesting, fix_preformatted, fix_list_nesting, only_in_print, remove_empty_texts, remove_childless, remove_breaks, remove_empty_sections, mark_short_paragraphs,

@@ -122,3 +122,56 @@ def figure_rows(nodes: DataFrame) -> DataFrame:
 
 def gallery_rows(images: DataFrame, per_row: int = 4) -> DataFrame:
     return images.withColumn("row", F.floor(F.col("ord") / per_row)).withColumn("col", F.col("ord") % per_row)
+
+
+def license_appendix(licenses: DataFrame) -> DataFrame:
+    """(ord, title, wikitext): the collection's licences in order, each text once, those without any left out."""
+    from .resources import license_text
+
+    rows = licenses.withColumn("wikitext", license_text()).where(F.col("wikitext") != "")
+    once = rows.groupBy("wikitext").agg(F.min(F.struct("ord", "name")).alias("first"))
+    return once.select(F.row_number().over(Window.orderBy("first.ord")).alias("ord"), F.col("first.name").alias("title"), "wikitext")
+
+
+def category_texts(links: DataFrame) -> DataFrame:
+    """Category links with the text that is shown: none without a colon in front, else the label or target up to a bar."""
+    shown = F.substring_index(F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("target")), "|", 1)
+    return links.withColumn("text", F.when(F.col("colon"), shown))
+
+
+def empty_tables(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id) of tables whose rows hold nothing."""
+    rows = nodes.where(F.col("class") == "Row").select("doc_id", F.col("node_id").alias("row"), F.col("parent").alias("node_id"))
+    full = nodes.select("doc_id", F.col("parent").alias("row")).join(rows, ["doc_id", "row"]).select("doc_id", "node_id").distinct()
+    return nodes.where(F.col("class") == "Table").select("doc_id", "node_id").join(full, ["doc_id", "node_id"], "left_anti")
+
+
+def anchors(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, anchor): sections and nodes with an id, by names that are safe in an address."""
+    name = F.coalesce(F.try_element_at("attrs", F.lit("id")), F.when(F.col("class") == "Section", F.col("caption")))
+    return nodes.where(name.isNotNull()).select("doc_id", "node_id", F.replace(F.trim(name), F.lit(" "), F.lit("_")).alias("anchor"))
+
+
+def keep_together(elements: DataFrame, page_height: float) -> DataFrame:
+    """(doc_id, ord, part) of (doc_id, ord, is_heading, height, breaks): a heading opens a part, which goes on up to the first element that isn't a
+    heading and, as long as its height stays within a tenth of the page, further; an element outside any part has none."""
+    state = "named_struct('open', false, 'heading', false, 'height', 0d, 'part', 0, 'out', cast(array() as array<struct<ord:int,part:int>>))"
+    row = "named_struct('ord', e.ord, 'part', {})"
+    step = f"""if(not s.open,
+      if(e.is_heading, named_struct('open', true, 'heading', true, 'height', 0d, 'part', s.part + 1, 'out', concat(s.out, array({row.format('s.part + 1')}))),
+        named_struct('open', false, 'heading', false, 'height', 0d, 'part', s.part, 'out', concat(s.out, array({row.format('cast(null as int)')})))),
+      if(s.heading or (s.height <= {page_height / 10} and not e.breaks),
+        named_struct('open', true, 'heading', e.is_heading, 'height', if(e.is_heading, s.height, s.height + e.height), 'part', s.part, 'out', concat(s.out, array({row.format('s.part')}))),
+        if(e.is_heading, named_struct('open', true, 'heading', true, 'height', 0d, 'part', s.part + 1, 'out', concat(s.out, array({row.format('s.part + 1')}))),
+          named_struct('open', false, 'heading', false, 'height', 0d, 'part', s.part, 'out', concat(s.out, array({row.format('cast(null as int)')}))))))"""
+    listed = elements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "is_heading", F.col("height").cast("double").alias("height"), "breaks"))).alias("all"))
+    return listed.select("doc_id", F.explode(F.expr(f"aggregate(all, {state}, (s, e) -> {step}).out")).alias("r")).select("doc_id", "r.ord", "r.part")
+
+
+#: Paragraph styles: a row for each kind of text and depth (points).
+def style_table(spark, base: float = 10.0) -> DataFrame:
+    """(kind, level, size, leading, indent) of paragraphs, headings, lists and preformatted text."""
+    rows = [("text", 0, base, base * 1.5, 0.0), ("preformatted", 0, base * 0.8, base, 0.0), ("caption", 0, base * 0.8, base, 0.0)]
+    rows += [("heading", k, base * max(1.0, 2.0 - 0.25 * (k - 1)), base * max(1.5, 3.0 - 0.25 * (k - 1)), 0.0) for k in range(1, 7)]
+    rows += [("list", k, base, base * 1.5, 1.5 * base * k) for k in range(1, 9)]
+    return spark.createDataFrame([(a, b, float(c), float(d), float(e)) for a, b, c, d, e in rows], "kind string, level int, size double, leading double, indent double")

@@ -33,13 +33,18 @@ def resolve(requests: DataFrame, pages: DataFrame, redirects: DataFrame, title:
     return out.select(*requests.columns, "resolved", *[F.coalesce(f"r_{c}", f"o_{c}").alias(c if c not in requests.columns else f"page_{c}") for c in pages.columns if c != "title"])
 
 
-def redirect_chains(redirects: DataFrame, depth: int = 10) -> DataFrame:
-    """(from_title, to_title) with chains followed to their ends, cycles cut at the depth: doubling steps, so log2(depth) joins."""
-    now = redirects.select("from_title", "to_title")
-    for _ in range(max(1, (depth - 1).bit_length())):
-        step = now.select(F.col("from_title").alias("to_title"), F.col("to_title").alias("further"))
-        now = now.join(step, "to_title", "left").select("from_title", F.coalesce("further", "to_title").alias("to_title"))
-    return now
+def redirect_chains(redirects: DataFrame) -> DataFrame:
+    """(from_title, to_title) with chains followed to their ends. Steps double, so that they end after the logarithm of the longest chain; a title on or
+    before a cycle, which has no end, is led to the cycle's smallest title."""
+    now = redirects.select("from_title", "to_title").dropDuplicates(["from_title"]).withColumn("least", F.col("to_title")).checkpoint()
+    for _ in range(max(1, now.count().bit_length())):
+        step = now.select(F.col("from_title").alias("to_title"), F.col("to_title").alias("further"), F.col("least").alias("lower"))
+        now = now.join(step, "to_title", "left").select("from_title", F.coalesce("further", "to_title").alias("to_title"), F.least("least", "lower").alias("least"), F.col("further").isNotNull().alias("on")).checkpoint()
+        if now.where("on").isEmpty():
+            return now.select("from_title", "to_title")
+    # what still goes on after as many steps as there are redirects goes round; a whole turn from there has met all of its titles
+    ends = now.where("on").select(F.col("from_title").alias("to_title"), F.col("least").alias("round"))
+    return now.join(ends, "to_title", "left").select("from_title", F.coalesce("round", "to_title").alias("to_title"))
 
 
 def excluded(pages: DataFrame, titles_: DataFrame) -> DataFrame:
@@ -106,7 +111,14 @@ def trusted_revision(revisions: DataFrame, least: float = 0.8, max_age_days: flo
 # -- resources ---------------------------------------------------------------------------------------------------------
 
 
+def category_rows(rows: DataFrame, category: str = "category", title: str = "title") -> DataFrame:
+    """(category, n, title): members in order, a row each, for categories of any size."""
+    w = Window.partitionBy(category).orderBy(title)
+    return rows.select(category, F.row_number().over(w).alias("n"), title)
+
+
 def category_members(rows: DataFrame, category: str = "category", title: str = "title") -> DataFrame:
+    """The same with all members in one row, for categories that are known to be small."""
     return rows.groupBy(category).agg(F.array_sort(F.collect_list(title)).alias("members"))
 
 
@@ -131,15 +143,16 @@ def missing(requested: DataFrame, seen: DataFrame, redirects: DataFrame) -> Data
     return asked.join(seen.select(F.col("title").alias("target")).distinct(), "target", "left_anti").select("title")
 
 
-def fixpoint(start: DataFrame, step, key: str, rounds: int = 50) -> DataFrame:
-    """Rows reached from a start: ``step`` gives further rows for new ones; rows already reached are left out; written each round."""
+def fixpoint(start: DataFrame, step, key: str, rounds: int = 10_000) -> DataFrame:
+    """Rows reached from a start: ``step`` gives further rows for new ones; rows already reached are left out; written each round. A step that still
+    finds new rows after so many rounds is an error, not a shorter result."""
     found = fresh = start.dropDuplicates([key]).checkpoint()
     for _ in range(rounds):
         fresh = unscheduled(step(fresh), found, key).checkpoint()
         if fresh.isEmpty():
-            break
+            return found
         found = found.unionByName(fresh)
-    return found
+    raise RuntimeError(f"new rows after {rounds} rounds")
 
 
 def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -151,8 +164,15 @@ def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def blocks(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Numbers rows in blocks of a size, in an order."""
-    return rows.withColumn("block", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    """Numbers rows in blocks of a size, in an order: rows are dealt by ranges, numbered within them, and moved on by the rows of the ranges before (one number a partition)."""
+    dealt = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    before, starts = 0, []
+    for r in sorted(dealt.groupBy("_p").count().collect()):
+        starts.append((r["_p"], before))
+        before += r["count"]
+    offsets = rows.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return dealt.withColumn("_own", own).join(offsets, "_p").withColumn("block", F.floor((F.col("_own") + F.col("_start")) / size)).drop("_p", "_own", "_start")
 
 
 def by_path(rows: DataFrame, url: str = "descriptionurl") -> DataFrame:

@@ -5,6 +5,7 @@ All joins have the document as an equality key; the interval test is the residua
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,12 @@ def ancestors(nodes: DataFrame, classes: list[str] | None = None) -> DataFrame:
 
 
 def level(nodes: DataFrame) -> DataFrame:
-    """How many ancestors of its own class a node has."""
-    up = nodes.select(DOC, F.col("class"), F.col("node_id").alias("ancestor"), F.col("post").alias("up_post"))
-    found = nodes.select(DOC, "class", "node_id").join(up, [DOC, "class"]).where((F.col("ancestor") < F.col("node_id")) & (F.col("node_id") <= F.col("up_post")))
-    counts = found.groupBy(DOC, "node_id").agg(F.count(F.lit(1)).alias("same_above"))
-    return nodes.join(counts, [DOC, "node_id"], "left").withColumn("same_above", F.coalesce("same_above", F.lit(0)))
+    """How many ancestors of its own class a node has: of the intervals of its class that began before it, those that haven't ended; one pass over each document."""
+    begins = nodes.select(DOC, "class", (F.col("node_id") * 2).alias("at"), F.lit(1).alias("d"), "node_id")
+    ends = nodes.select(DOC, "class", (F.col("post") * 2 + 1).alias("at"), F.lit(-1).alias("d"), F.lit(None).cast("int").alias("node_id"))
+    before = Window.partitionBy(DOC, "class").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, -1)
+    counts = begins.unionByName(ends).withColumn("same_above", F.coalesce(F.sum("d").over(before), F.lit(0))).where(F.col("node_id").isNotNull()).select(DOC, "node_id", "same_above")
+    return nodes.join(counts, [DOC, "node_id"])
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
@@ -52,10 +54,84 @@ def display_text(nodes: DataFrame) -> DataFrame:
     return links.join(inner.withColumnRenamed("top", "node_id"), [DOC, "node_id"], "left").select(DOC, "node_id", "class", "target", F.coalesce("label", "target").alias("text"))
 
 
+def nearest(nodes: DataFrame, value) -> DataFrame:
+    """(doc_id, node_id, value): the value of the nearest node at or above each node that has one; one pass over each document."""
+
+    def walk(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node_id")
+        ids, ends, own = (rows[c].to_pylist() for c in ("node_id", "post", "value"))
+        stack, out = [], []
+        for n, end, v in zip(ids, ends, own, strict=True):
+            while stack and stack[-1][0] < n:
+                stack.pop()
+            v = v if v is not None else stack[-1][1] if stack else None
+            stack.append((end, v))
+            out.append(v)
+        return pa.table({"doc_id": rows[DOC], "node_id": rows["node_id"], "value": pa.array(out, pa.string())})
+
+    slim = nodes.select(F.col(DOC).cast("string").alias(DOC), F.col("node_id").cast("int").alias("node_id"), F.col("post").cast("int").alias("post"), value.cast("string").alias("value"))
+    return slim.groupBy(DOC).applyInArrow(walk, "doc_id string, node_id int, value string").where(F.col("value").isNotNull())
+
+
 def inherited(nodes: DataFrame, name: str) -> DataFrame:
     """(doc_id, node_id, value): the attribute of the nearest node at or above that has it."""
-    have = nodes.where(F.map_contains_key("attrs", F.lit(name))).select(DOC, F.col("node_id").alias("at"), F.col("post").alias("at_post"), F.element_at("attrs", F.lit(name)).alias("value"))
-    return nodes.select(DOC, "node_id").join(have, DOC).where((F.col("at") <= F.col("node_id")) & (F.col("node_id") <= F.col("at_post"))).groupBy(DOC, "node_id").agg(F.max_by("value", "at").alias("value"))
+    return nearest(nodes, F.try_element_at("attrs", F.lit(name)))
+
+
+def style_of(name: str):
+    """One entry of a node's style attribute, null if there is none."""
+    return F.nullif(F.lower(F.trim(F.regexp_extract(F.coalesce(F.try_element_at("attrs", F.lit("style")), F.lit("")), rf"(?i)(?:^|;)\s*{name}\s*:\s*([^;]*)", 1))), F.lit(""))
+
+
+def alignments(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, align, vertical): the nearest alignment at or above each node, none where there isn't any; a header cell without one is centred, one that isn't known is left."""
+    boxed = F.when(F.col("class").isin("Div", "Cell", "Row"), F.lower(F.try_element_at("attrs", F.lit("align"))))
+    own = F.nullif(F.coalesce(style_of("text-align"), boxed), F.lit("none"))
+    own = F.when(F.col("class") == "Center", F.lit("center")).when(own.isin("left", "center", "right", "justify"), own).when(own.isNotNull(), F.lit("left"))
+    up = F.coalesce(style_of("vertical-align"), F.lower(F.try_element_at("attrs", F.lit("valign"))))
+    across = nearest(nodes, own).withColumnRenamed("value", "_a")
+    down = nearest(nodes, F.when(up.isin("top", "middle", "bottom"), up)).withColumnRenamed("value", "vertical")
+    base = F.when((F.col("class") == "Cell") & (F.col("tag") == "th"), F.lit("center")).otherwise(F.lit("none"))
+    return nodes.select(DOC, "node_id", "class", base.alias("_b")).join(across, [DOC, "node_id"], "left").join(down, [DOC, "node_id"], "left").select(DOC, "node_id", "class", F.coalesce("_a", "_b").alias("align"), "vertical")
+
+
+def directions(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, dir): rtl or ltr from the nearest node at or above that says so."""
+    said = F.lower(F.trim(F.coalesce(F.try_element_at("attrs", F.lit("dir")), style_of("direction"))))
+    return nodes.select(DOC, "node_id").join(nearest(nodes, F.when(said.isin("rtl", "ltr"), said)).withColumnRenamed("value", "dir"), [DOC, "node_id"], "left").withColumn("dir", F.coalesce("dir", F.lit("ltr")))
+
+
+# -- changes of trees ------------------------------------------------------------------------------------------------------
+def renumbered(nodes: DataFrame) -> DataFrame:
+    """Trees with gaps in their numbers, numbered anew: node_id, parent, post and ord follow the order of the rows that are there."""
+    w = Window.partitionBy(DOC).orderBy("node_id")
+    new = nodes.withColumn("_new", F.row_number().over(w) - 1)
+    last = new.select(DOC, F.col("node_id").alias("_at"), F.col("_new").alias("_last"))
+    ends = new.groupBy(DOC).agg(F.array_sort(F.collect_list("node_id")).alias("_ids"))
+    named = new.join(ends, DOC).withColumn("post", F.size(F.filter("_ids", lambda x: x <= F.col("post"))) - 1).drop("_ids")
+    parents = last.select(DOC, F.col("_at").alias("parent"), F.col("_last").alias("_parent"))
+    out = named.join(parents, [DOC, "parent"], "left")
+    place = F.row_number().over(Window.partitionBy(DOC, "_parent").orderBy("_new")) - 1
+    return out.withColumn("ord", place).drop("parent", "node_id").withColumnsRenamed({"_new": "node_id", "_parent": "parent"}).select(*nodes.columns)
+
+
+def removed(nodes: DataFrame, which) -> DataFrame:
+    """Trees without some nodes and all that is below them."""
+    gone = nodes.where(which).groupBy(DOC).agg(F.collect_list(F.struct("node_id", "post")).alias("_gone"))
+    inside = F.exists("_gone", lambda g: (g["node_id"] <= F.col("node_id")) & (F.col("node_id") <= g["post"]))
+    return renumbered(nodes.join(gone, DOC, "left").where(~F.coalesce(inside, F.lit(False))).drop("_gone"))
+
+
+def spliced(nodes: DataFrame, which) -> DataFrame:
+    """Trees in which some nodes give way to their children."""
+    out = nodes.select(DOC, F.col("node_id").alias("_id"), "parent", (which & F.col("parent").isNotNull()).alias("_out"))
+    stay = nodes
+    while True:  # ends: each turn lifts the parents of what is left by one removed node
+        up = out.where("_out").select(DOC, F.col("_id").alias("parent"), F.col("parent").alias("_above"))
+        lifted = stay.join(up, [DOC, "parent"], "left").withColumn("_hit", F.col("_above").isNotNull()).withColumn("parent", F.coalesce("_above", "parent")).drop("_above").checkpoint()
+        stay = lifted.drop("_hit")
+        if lifted.where("_hit").isEmpty():
+            return renumbered(stay.join(out.where("_out").select(DOC, F.col("_id").alias("node_id")), [DOC, "node_id"], "left_anti").select(*nodes.columns))
 
 
 def sections(nodes: DataFrame) -> DataFrame:
@@ -77,15 +153,20 @@ SCOPES = ("children", "descendants", "parent", "ancestors", "siblings")
 
 
 def _scope(nodes: DataFrame, cls: str, scope: str) -> DataFrame:
-    """(doc_id, node_id, other_class) of a class's nodes and the nodes in a scope."""
+    """(doc_id, node_id, other_class) of a class's nodes and the nodes in a scope; children, parents and siblings meet by the parent's number."""
     own = nodes.where(F.col("class") == cls).select(DOC, "node_id", "parent", "post")
     other = nodes.select(DOC, F.col("node_id").alias("o"), F.col("parent").alias("o_parent"), F.col("post").alias("o_post"), F.col("class").alias("other_class"))
-    j = own.join(other, DOC)
-    test = {
-        "children": F.col("o_parent") == F.col("node_id"), "parent": F.col("o") == F.col("parent"), "siblings": (F.col("o_parent") == F.col("parent")) & (F.col("o") != F.col("node_id")),
-        "descendants": (F.col("o") > F.col("node_id")) & (F.col("o") <= F.col("post")), "ancestors": (F.col("o") < F.col("node_id")) & (F.col("node_id") <= F.col("o_post")),
-    }[scope]
-    return j.where(test).select(DOC, "node_id", "other_class")
+    if scope == "children":
+        j = own.join(other.withColumnRenamed("o_parent", "_k"), [own[DOC] == other[DOC], F.col("node_id") == F.col("_k")]).drop(other[DOC])
+    elif scope == "parent":
+        j = own.join(other.withColumnRenamed("o", "_k"), [own[DOC] == other[DOC], F.col("parent") == F.col("_k")]).drop(other[DOC])
+    elif scope == "siblings":
+        j = own.join(other, [own[DOC] == other[DOC], F.col("o_parent") == F.col("parent")]).drop(other[DOC]).where(F.col("o") != F.col("node_id"))
+    elif scope == "descendants":
+        j = own.join(other, DOC).where((F.col("o") > F.col("node_id")) & (F.col("o") <= F.col("post")))
+    else:
+        j = own.join(other, DOC).where((F.col("o") < F.col("node_id")) & (F.col("node_id") <= F.col("o_post")))
+    return j.select(DOC, "node_id", "other_class")
 
 
 def check(nodes: DataFrame, rules: list[tuple[str, str, str, list[str]]]) -> DataFrame:

@@ -131,12 +131,63 @@ def stale_folders(files: DataFrame, now: float, max_age: float) -> DataFrame:
     return files.groupBy("dir").agg(F.min("mtime").alias("oldest")).where(F.col("oldest") < now - max_age)
 
 
+FINAL = ("success", "error", "timeout", "killed")
+
+
+def waited_for(states: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(request, finished): whether all jobs that a request (request, jobid) waits for are done; a job that isn't known (any more) isn't waited for."""
+    rows = wanted.join(states.select("jobid", "state"), "jobid", "left")
+    return rows.groupBy("request").agg(F.bool_and(F.col("state").isNull() | F.col("state").isin(*FINAL)).alias("finished"))
+
+
+def preened(states: DataFrame) -> DataFrame:
+    """The jobs that a channel still has to give out or is working on."""
+    return states.where(~F.col("state").isin(*FINAL, "gone"))
+
+
+def requeued(states: DataFrame, lost: DataFrame) -> DataFrame:
+    """States after workers (channel) were lost: their running jobs wait again."""
+    gone = lost.select("channel", F.lit(True).alias("_lost")).distinct()
+    back = F.coalesce("_lost", F.lit(False)) & (F.col("state") == "running")
+    return states.join(gone, "channel", "left").withColumn("state", F.when(back, F.lit("waiting")).otherwise(F.col("state"))).select(*states.columns)
+
+
+def route(collection, servers: int):
+    """The server that keeps a collection's files: the same for every job of the collection."""
+    return F.pmod(F.xxhash64(collection), F.lit(servers)).cast("int")
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """The queue as a table, for a new start."""
+    states.write.mode("overwrite").parquet(path)
+
+
+def load_states(spark, path: str) -> DataFrame:
+    """A saved queue; what was running when it was saved waits again."""
+    saved = spark.read.schema(STATES).parquet(path)
+    return saved.withColumn("state", F.when(F.col("state") == "running", F.lit("waiting")).otherwise(F.col("state")))
+
+
+def write_jobs(jobs: DataFrame, path: str) -> None:
+    """Job files (one JSON line a job, each job once) that :func:`oldest_first` reads."""
+    jobs.dropDuplicates(["jobid"]).write.mode("append").json(path)
+
+
+def write_status(status: DataFrame, path: str) -> None:
+    """The latest status of each job as JSON; the folder is replaced as a whole."""
+    last = Window.partitionBy("jobid").orderBy(F.desc("event_time"))
+    status.withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1).drop("_n").write.mode("overwrite").json(path)
+
+
 # -- streaming -------------------------------------------------------------------------------------------------------
 def job_stream(log: DataFrame) -> DataFrame:
     """The same machine as keyed state over a stream of events: rows come out at each change of a job's state. ``event_time`` is in
-    seconds. Deadlines and the time to live are looked at when a job's next event comes (a ``tick`` will do); no timers are set."""
+    seconds. A timer stands at each job's deadline, so that a job without a further event times out, and its state goes after its time to live, as
+    soon as the events of other jobs have moved the watermark past them."""
     from pyspark.sql.streaming import StatefulProcessor
 
+    columns = ["jobid", "channel", "priority", "state", "error", "info"]
+
     class Machine(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
@@ -148,9 +199,13 @@ def job_stream(log: DataFrame) -> DataFrame:
             return Job(jobid, *self.value.get())
 
         def _store(self, job: Job) -> None:
+            for at in self.handle.listTimers():
+                self.handle.deleteTimer(at)
             if job.state == "gone":
                 self.value.clear()
             else:
+                if job.state != "new":
+                    self.handle.registerTimer(int(job.deadline * 1000))
                 self.value.update((job.channel, job.priority, job.serial, job.state, job.error, job.info, job.deadline, job.ttl, job.drop))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -163,15 +218,21 @@ def job_stream(log: DataFrame) -> DataFrame:
                     if job.state != before:
                         out.append({"jobid": key[0], "channel": job.channel, "priority": job.priority, "state": job.state, "error": job.error, "info": job.info})
             self._store(job)
-            yield pd.DataFrame(out, columns=["jobid", "channel", "priority", "state", "error", "info"])
+            yield pd.DataFrame(out, columns=columns)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            yield pd.DataFrame()
+            job = self._load(key[0])
+            before = job.state
+            advance(job, expiredTimerInfo.getExpiryTimeInMs() / 1000)
+            self._store(job)
+            shown = [{"jobid": key[0], "channel": job.channel, "priority": job.priority, "state": job.state, "error": job.error, "info": job.info}] if job.state != before else []
+            yield pd.DataFrame(shown, columns=columns)
 
         def close(self) -> None:
             pass
 
-    return log.groupBy("jobid").transformWithStateInPandas(Machine(), STATES, "Append", "None")
+    timed = log.withColumn("at", F.timestamp_seconds("event_time")).withWatermark("at", "0 seconds")
+    return timed.groupBy("jobid").transformWithStateInPandas(Machine(), STATES, "Append", "EventTime")
 
 
 def deduplicated(log: DataFrame, delay: str = "1 hour") -> DataFrame:
