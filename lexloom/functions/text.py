@@ -83,7 +83,7 @@ def fullurl(s, base, query=None):
 
 def servername(url):
     """Network location of a URL, port included."""
-    return F.parse_url(col(url), F.lit("AUTHORITY"))
+    return F.try_parse_url(col(url), F.lit("AUTHORITY"))
 
 
 def anchorencode(s):
@@ -320,15 +320,15 @@ def visible_length(s):
 
 def good_base_url(url):
     """False for local hosts and private networks."""
-    host = F.parse_url(col(url), F.lit("HOST"))
+    host = F.try_parse_url(col(url), F.lit("HOST"))
     return ~F.coalesce((host == "localhost") | host.startswith("127.0.") | host.startswith("192.168."), F.lit(False))
 
 
 def safe_url(url):
     """The URL with its path encoded anew, null if it has no scheme, no host or white space."""
     url = col(url)
-    scheme, host, path = F.parse_url(url, F.lit("PROTOCOL")), F.parse_url(url, F.lit("AUTHORITY")), F.parse_url(url, F.lit("PATH"))
-    query, ref = F.parse_url(url, F.lit("QUERY")), F.parse_url(url, F.lit("REF"))
+    scheme, host, path = F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("AUTHORITY")), F.try_parse_url(url, F.lit("PATH"))
+    query, ref = F.try_parse_url(url, F.lit("QUERY")), F.try_parse_url(url, F.lit("REF"))
     decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     tail = F.concat(F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(F.lit("")), F.when(ref.isNotNull(), F.concat(F.lit("#"), ref)).otherwise(F.lit("")))
     return F.when(scheme.isNotNull() & host.isNotNull() & ~url.rlike(r"\s"), F.concat(scheme, F.lit("://"), host, quote(F.coalesce(decoded, path), "/"), tail))
@@ -337,6 +337,6 @@ def safe_url(url):
 def api_candidates(url):
     """Places where a wiki's api.php may be, by the URL of one of its articles."""
     url = col(url)
-    root = F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(url, F.lit("AUTHORITY")))
-    path = F.regexp_replace(F.parse_url(url, F.lit("PATH")), "[^/]*$", "")
+    root = F.concat(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")))
+    path = F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), "[^/]*$", "")
     return F.array_distinct(F.array(F.concat(root, path, F.lit("api.php")), F.concat(root, F.lit("/w/api.php")), F.concat(root, F.lit("/wiki/api.php")), F.concat(root, F.lit("/api.php"))))

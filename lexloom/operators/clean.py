@@ -6,9 +6,14 @@ earlier ones. A step that fails leaves its tree as it is and is noted in the roo
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from .wikitext import BLOCKS, Node
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import dealt
+from .wikitext import BLOCKS, Node, parsed
 
 #: Classes that may be without children, class names that aren't shown, headings that aren't kept.
 CHILDLESS_OK = {"Text", "BreakingReturn", "HorizontalRule", "ImageLink", "ArticleLink", "NamespaceLink", "SpecialLink", "CategoryLink", "LangLink", "URL", "NamedURL", "Cell", "Math", "Timeline", "Source", "ImageMap", "Reference", "ReferenceList", "TagNode", "Article", "Node"}
@@ -534,3 +539,29 @@ def clean(root: Node, steps: list[Callable[[Node], None]] | None = None, skip: s
         except Exception as error:  # one document's step, not the table's
             root.attrs["failed"] = (root.attrs.get("failed", "") + f" {step.__name__}: {error}").strip()
     return root
+
+
+# -- measuring -------------------------------------------------------------------------------------------------------------
+def counted(root: Node, selector: str) -> int:
+    """Nodes of a class (``Class``), those of it with an attribute (``Class@name``), all nodes (``*``), or characters of text (``#``)."""
+    if selector == "#":
+        return len(root.text())
+    cls, _, name = selector.partition("@")
+    return sum((cls == "*" or n.cls == cls) and (not name or name in n.attrs) for n in root.walk())
+
+
+def effects(docs: DataFrame, cases: dict[str, tuple[str, str]]) -> DataFrame:
+    """(doc_id, case, before, after): what a selector counts in a text's tree before and after one step. docs: (doc_id, case, text); cases: case -> (step, selector)."""
+    steps = {f.__name__: f for f in STEPS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, after = [], []
+            for case, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                name, selector = cases[case]
+                tree = parsed(text or "")
+                before.append(counted(tree, selector))
+                after.append(counted(clean(tree, [steps[name]]), selector))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.int64()), pa.array(after, pa.int64())], ["doc_id", "case", "before", "after"])
+
+    return dealt(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "case", "text")).mapInArrow(run, "doc_id string, case string, before long, after long")

@@ -175,3 +175,8 @@ def style_table(spark, base: float = 10.0) -> DataFrame:
     rows += [("heading", k, base * max(1.0, 2.0 - 0.25 * (k - 1)), base * max(1.5, 3.0 - 0.25 * (k - 1)), 0.0) for k in range(1, 7)]
     rows += [("list", k, base, base * 1.5, 1.5 * base * k) for k in range(1, 9)]
     return spark.createDataFrame([(a, b, float(c), float(d), float(e)) for a, b, c, d, e in rows], "kind string, level int, size double, leading double, indent double")
+
+
+def repeated(links: DataFrame) -> DataFrame:
+    """(..., repeats) of links that occur more than once among equal columns."""
+    return links.groupBy(*links.columns).agg(F.count(F.lit(1)).alias("repeats")).where(F.col("repeats") > 1)

@@ -28,8 +28,9 @@ LACKING = "pnb ckb mwl mhr ace krc pcd frr koi gag bjn pfl mrj rue kbd ltg xmf".
 def image_names(title, lang: str = "en"):
     """struct(local, english): the full names under which an image may be stored; null outside the file namespace and for names with a slash."""
     name = titles.split_name(F.try_url_decode(F.replace(F.col(title) if isinstance(title, str) else title, F.lit("+"), F.lit("%2B"))), lang, FILE)
-    fine = (name["ns"] == FILE) & ~F.contains(name["full"], F.lit("/"))
-    return F.when(fine, F.struct(name["full"].alias("local"), titles.full_name(name["partial"], "en", FILE).alias("english")))
+    # bound once by the lambda, as the name is read several times
+    made = lambda n: F.when((n["ns"] == FILE) & ~F.contains(n["full"], F.lit("/")), F.struct(n["full"].alias("local"), F.concat(F.lit("File:"), n["partial"]).alias("english")))
+    return F.transform(F.array(name), made)[0]
 
 
 def _either(requests: DataFrame, stored: DataFrame, title: str, lang: str) -> DataFrame:

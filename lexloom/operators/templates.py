@@ -370,7 +370,7 @@ def _ifexpr(e, rest, parts, args):
 @function("#ifexist")
 def _ifexist(e, rest, parts, args):
     name = titles.plain_split(rest.strip(), e.site.lang)[2] if rest.strip() else ""
-    return _branch(e, parts, args, 0 if name and (name in e.site.exists) else 1)
+    return _branch(e, parts, args, 0 if name and (name in e.site.exists or e.lookup(name) is not None) else 1)
 
 
 @function("#iferror")

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import titles
 from ..functions.markup import ALLOWED, EMPTY
@@ -84,6 +85,17 @@ def bold_italic(counts: list[int]) -> list[tuple[int, str]]:
     return out[::-1]
 
 
+@F.arrow_udf(LongType())
+def least_sum(runs: pa.Array) -> pa.Array:
+    """Text apostrophes and styles left open in the best reading of runs of apostrophes (arrays of lengths)."""
+    out = []
+    for counts in runs.to_pylist():
+        ways = bold_italic(counts or [])
+        toggled = "".join(kind for _, kind in ways)
+        out.append(sum(n for n, _ in ways) + toggled.count("b") % 2 + toggled.count("i") % 2)
+    return pa.array(out, pa.int64())
+
+
 _INLINE = re.compile(r"(?P<link>\[\[)|(?P<url>\[(?:https?://|ftp://|irc://|news:|mailto:|//)[^\s\]]+)|(?P<bare>\b(?:https?|ftp)://[^\s\[\]<>\"|{}\x7f]+)|(?P<quote>'{2,})|(?P<mark>\x7fTAG-\d+\x7f)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\s[^<>]*?)?)(?P<end>/?)>")
 
 
@@ -289,19 +301,23 @@ class Parser:
     # -- blocks ----------------------------------------------------------------------------------------------
     def parse(self, text: str) -> Node:
         root = Node("Article")
+        self._nest(root, self._split_blocks(self.tags.take(text)), 0)
+        return root
+
+    def _nest(self, root: Node, blocks: Iterator[tuple[str, object]], depth: int) -> None:
+        """Puts blocks into the sections that they follow, and sections into larger ones."""
         sections: list[Node] = [root]
-        for kind, payload in self._split_blocks(self.tags.take(text)):
+        for kind, payload in blocks:
             if kind == "section":
                 level, title = payload
                 while len(sections) > 1 and (sections[-1].level or 0) >= level:
                     sections.pop()
                 node = Node("Section", title, level=level)
-                node.children.append(Node("Node", "caption", children=self.inline(title)))
+                node.children.append(Node("Node", "caption", children=self.inline(title, depth)))
                 sections[-1].children.append(node)
                 sections.append(node)
             else:
                 sections[-1].children += payload
-        return root
 
     def _split_blocks(self, text: str, depth: int = 0) -> Iterator[tuple[str, object]]:
         lines = text.split("\n")
@@ -348,14 +364,9 @@ class Parser:
                 i = j
 
     def blocks(self, text: str, depth: int) -> list[Node]:
-        out: list[Node] = []
-        for kind, payload in self._split_blocks(text, depth):
-            if kind == "section":
-                level, title = payload
-                out.append(Node("Section", title, level=level, children=[Node("Node", "caption", children=self.inline(title))]))
-            else:
-                out += payload
-        return out
+        root = Node("Node")
+        self._nest(root, self._split_blocks(text, depth), depth)
+        return root.children
 
     def items(self, rows: list[tuple[str, str]], at: int) -> list[Node]:
         """Nested lists out of (prefix, text); ``at`` is how much of the prefixes the surrounding lists have used."""

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions, markup, styles, text, times, titles
-from ..operators import layout, relational, templates, tree, wikitext
+from ..operators import clean, layout, relational, templates, tree, wikitext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,15 +144,9 @@ def channel_stats(spark, sf):
     return jobs.channel_stats(t(spark, sf, "events").select(F.col("event_type").alias("channel"), state.alias("state"), F.lit("bad").alias("error")))
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS jobid, CASE WHEN event_id % 3 = 0 THEN 'success' WHEN event_id % 3 = 1 THEN 'error' ELSE 'timeout' END AS state FROM events WHERE event_id < 200")
-def job_replay(spark, sf):
-    """The queue's state machine over a log: a third of the jobs finishes in time, a third with an error, a third too late."""
-    return _replayed(t(spark, sf, "events").where(F.col("event_id") < 200))
-
-
 @query("SELECT CAST(event_id AS VARCHAR) AS jobid, CASE WHEN event_id % 3 = 0 THEN 'success' WHEN event_id % 3 = 1 THEN 'error' ELSE 'timeout' END AS state FROM events")
-def job_replay_all(spark, sf):
-    """The same with every event as a job."""
+def job_replay(spark, sf):
+    """The queue's state machine over a log with every event as a job: a third of the jobs finishes in time, a third with an error, a third too late."""
     return _replayed(t(spark, sf, "events"))
 
 
@@ -219,14 +213,8 @@ def switch_literal(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", text.switch("o_orderstatus", [("f", "no"), ("F", "done"), ("X", None), ("O", "open")], "rest").alias("literal"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) * l_linenumber + 7 AS VARCHAR) AS product, CAST(CAST(l_quantity AS BIGINT) % 7 AS VARCHAR) AS rest, CASE WHEN l_quantity > 25 THEN '1' ELSE '0' END AS larger, CAST(l_linenumber * l_linenumber AS VARCHAR) AS power FROM lineitem WHERE l_orderkey <= 2000""")
-def expressions_evaluated(spark, sf):
-    return _evaluated(t(spark, sf, "lineitem").where(F.col("l_orderkey") <= 2000))
-
-
 @query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) * l_linenumber + 7 AS VARCHAR) AS product, CAST(CAST(l_quantity AS BIGINT) % 7 AS VARCHAR) AS rest, CASE WHEN l_quantity > 25 THEN '1' ELSE '0' END AS larger, CAST(l_linenumber * l_linenumber AS VARCHAR) AS power FROM lineitem""")
-def expressions_evaluated_all(spark, sf):
-    """The same over all of lineitem."""
+def expressions_evaluated(spark, sf):
     return _evaluated(t(spark, sf, "lineitem"))
 
 
@@ -307,8 +295,7 @@ def html_links(spark, sf):
 @query(r"""SELECT page_id, href, any_value(n) AS repeats FROM (SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^<>]*?href\s*=\s*"([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2) WHERE n > 1 GROUP BY 1, 2""")
 def repeated_links(spark, sf):
     tags = markup.tags(t(spark, sf, "pages").select("page_id", "html"), "html").where((F.col("name") == "a") & ~F.col("closes")).withColumn("href", markup.attribute("attrs", "href")).where(F.col("href").isNotNull())
-    marked = tags.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "href").orderBy("tag_no")))
-    return marked.groupBy("page_id", "href").agg(F.max("nth").cast("long").alias("repeats")).where(F.col("repeats") > 1)
+    return layout.repeated(tags.select("page_id", "href")).select("page_id", "href", "repeats")
 
 
 @query(r"""SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_matches(l, '^\s*:*\{\|') THEN 'table' WHEN regexp_matches(l, '^\s*\|\}') THEN 'table_end' WHEN regexp_matches(l, '^\s*\|-') THEN 'row' WHEN regexp_matches(l, '^\s*\|\+') THEN 'caption' WHEN regexp_matches(l, '^\s*[|!]') THEN 'cell' WHEN regexp_matches(l, '^=+.*=+\s*$') THEN 'section' WHEN regexp_matches(l, '^----') THEN 'rule' WHEN regexp_matches(l, '^[:;#*]+') THEN 'item' WHEN regexp_matches(l, '^ \s*\S') THEN 'pre' WHEN regexp_matches(l, '^\s*$') THEN 'blank' ELSE 'text' END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) GROUP BY 1, 2""")
@@ -316,9 +303,12 @@ def line_kinds(spark, sf):
     return markup.lines(t(spark, sf, "documents").select("doc_id", "text")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT conv_id, turn, length(text) < 80 AS short FROM conversations""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(o_orderkey % 160 < 79 AS BIGINT) AS short, CAST(1 AS BIGINT) AS paragraphs FROM orders""")
 def short_paragraphs(spark, sf):
-    return t(spark, sf, "conversations").select("conv_id", "turn", (F.length("text") < 80).alias("short"))
+    """Paragraphs of 1 to 160 characters, one for each order; those of fewer than 80 are marked."""
+    pages = t(spark, sf, "orders").select("o_orderkey", F.repeat(F.lit("x"), (F.col("o_orderkey") % 160 + 1).cast("int")).alias("text"))
+    nodes = wikitext.parse_pages(pages, key="o_orderkey", columns=["class", "attrs"], cleaner=lambda tree_: clean.clean(tree_, [clean.mark_short_paragraphs])).where(F.col("class") == "Paragraph")
+    return nodes.groupBy("doc_id").agg(F.count_if(F.map_contains_key("attrs", F.lit("short"))).alias("short"), F.count(F.lit(1)).alias("paragraphs"))
 
 
 @query(r"""SELECT doc_id, count(*) AS n, sum(length(p)) AS characters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE trim(p, ' ') <> '' GROUP BY 1""")

@@ -21,7 +21,7 @@ HEADER = "title string, ns int, revid long, expanded int"
 
 def read_revisions(spark: SparkSession, path: str, wiki_id: str = "") -> DataFrame:
     """A revision file: records between page marks, each a JSON line and text. What stands before the first mark is dropped."""
-    raw = spark.read.option("lineSep", MARK).text(path).where(F.trim("value").startswith("{"))
+    raw = spark.read.option("lineSep", MARK).text(path).withColumn("value", F.regexp_replace("value", f"^{MARK.strip(chr(10))}", "")).where(F.trim("value").startswith("{"))
     head = F.from_json(F.substring_index("value", "\n", 1), HEADER)
     rest = F.when(F.contains(F.col("value"), F.lit("\n")), F.regexp_replace("value", r"^[^\n]*\n", "")).otherwise(F.lit(""))
     return raw.select(F.lit(wiki_id).alias("wiki_id"), head.alias("h"), rest.alias("rawtext")).select("wiki_id", "h.ns", "h.title", "h.revid", (F.coalesce("h.expanded", F.lit(0)) == 1).alias("expanded"), "rawtext")
@@ -34,6 +34,15 @@ def write_revisions(pages: DataFrame, path: str) -> None:
     once.select(F.concat(F.lit(" --page-- "), head, F.lit("\n"), F.coalesce("rawtext", F.lit(""))).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> str:
+    """Writes one small file through Hadoop's file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 def read_revision_folder(spark: SparkSession, path: str) -> DataFrame:
     """Reads back what write_revisions has written: part files begin with a mark as well."""
     raw = spark.read.text(path, wholetext=True)

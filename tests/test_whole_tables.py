@@ -21,10 +21,10 @@ def both(spark, name, table):
 
 
 def test_all_expressions(spark):
-    got, want = both(spark, "expressions_evaluated_all", "lineitem")
+    got, want = both(spark, "expressions_evaluated", "lineitem")
     assert got == want and sum(got.values()) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
 
 
 def test_all_jobs(spark):
-    got, want = both(spark, "job_replay_all", "events")
+    got, want = both(spark, "job_replay", "events")
     assert got == want and sum(got.values()) == spark.read.parquet(f"{SF}/events.parquet").count()
