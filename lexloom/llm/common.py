@@ -6,6 +6,8 @@ Everything that more than one task has to see is written below the folder named
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,15 +72,25 @@ def texts(column: pa.Array) -> list[bytes]:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, text: str | None = None, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that a slice holds ``rows`` rows, or about ``most`` bytes of one column."""
-    for batch in batches:
-        at = 0
-        step = rows
-        if text is not None and batch.num_rows:
-            mean = batch.column(batch.schema.get_field_index(text)).nbytes / batch.num_rows
-            step = max(1, min(rows, int(most / max(mean, 1))))
-        while at < batch.num_rows:
-            yield batch.slice(at, step)
-            at += step
+    try:
+        for batch in batches:
+            at = 0
+            step = rows
+            if text is not None and batch.num_rows:
+                mean = batch.column(batch.schema.get_field_index(text)).nbytes / batch.num_rows
+                step = max(1, min(rows, int(most / max(mean, 1))))
+            while at < batch.num_rows:
+                yield batch.slice(at, step)
+                at += step
+    finally:
+        release()
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system: workers are used again and would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def tokenizer_file(name: str) -> bytes:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
@@ -163,7 +163,7 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shipped.value
         pairs = net.pairs()
-        for batch in batches:
+        for batch in slices(batches, 2000, "text", 4 << 20):
             raw = texts(batch.column(batch.schema.get_field_index("text")))
             letters = batch.column(batch.num_columns - 1).to_pylist()
             sums, weight = np.zeros((len(raw), len(net.labels))), np.zeros(len(raw))
