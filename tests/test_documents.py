@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import clean, layout, relational, tree, wikitext
+from lexloom.operators import clean, layout, relational, resources, templates, tree, wikitext
 from lexloom.plans.lifecycle import node_table
 from lexloom.sources import stores
 from lexloom.streaming import jobs
@@ -129,3 +129,45 @@ def test_hash_of_all_registered_queries_have_oracles():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) >= 45 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_apostrophes():
+    """Runs of apostrophes: how many stay text and what the rest does, by the least sum over all readings."""
+    assert wikitext.bold_italic([2, 2]) == [(0, "i"), (0, "i")] and wikitext.bold_italic([5, 2, 3]) == [(0, "bi"), (0, "i"), (0, "b")]
+    assert wikitext.bold_italic([3, 2]) == [(1, "i"), (0, "i")] and wikitext.bold_italic([2, 3]) == [(0, "i"), (1, "i")]
+    assert wikitext.bold_italic([3, 4]) == [(0, "b"), (1, "b")] and wikitext.bold_italic([19, 6]) == [(14, "bi"), (1, "bi")]
+    assert len(wikitext.bold_italic([2, *[3] * 2000, 2])) == 2002
+
+
+def test_pages_that_nest_without_end():
+    for text in ("<i>" * 3000 + "x", "[[" * 5000 + "x", "*" * 3000 + " x", "{|\n|" * 60 + "x", "<div>" * 3000 + "x" + "</div>" * 3000, "'''''" * 3000 + "x"):
+        tree_ = clean.clean(wikitext.parsed(text))
+        assert "x" in tree_.text() and len(wikitext.numbered(tree_)) >= 2
+    assert wikitext.parsed("ab").text() == "ab"
+    broken = wikitext.parsed("text", cleaner=lambda tree_: [][0])
+    assert broken.text() == "text" and broken.attrs["failed"].startswith("IndexError")
+
+
+def test_dates_past_the_calendar():
+    assert templates.expand("{{#time:Y-m-d|2008-01-31 + 1 month}}") == "2008-02-29" and templates.expand("{{#time:Y-m-d|2007-12-31 + 2 month}}") == "2008-02-29"
+    assert "invalid time" in templates.expand("{{#time:Y|2008-01-31 + 9999999 day}}") and "invalid time" in templates.expand("{{#time:Y|2008-01-31 + 99999999999999 year}}")
+    assert len(templates.expand("{{padleft:a|99999999999|b}}")) == 256 * 1024
+
+
+def test_trees_change(spark):
+    nodes = wikitext.parse_pages(spark.createDataFrame([("1", "== A ==\n* one\n* two\n\ntext"), ("2", "plain")], "doc_id string, text string"))
+    less = tree.removed(nodes, F.col("class") == "ItemList")
+    assert tree.violations(less).count() == 0 and less.where("class = 'Item'").count() == 0
+    assert [r.node_id for r in less.where("doc_id = '1'").orderBy("node_id").collect()] == list(range(less.where("doc_id = '1'").count()))
+    flat = tree.spliced(nodes, F.col("class").isin("Section", "ItemList"))
+    assert tree.violations(flat).count() == 0 and flat.where("class = 'Item' AND parent = 0").count() == 2
+    assert tree.level(nodes).count() == nodes.count()
+
+
+def test_settings():
+    found = resources.Settings.read("[fetch]\nlimit = 5\nfast = yes\n", {"WIKI_FETCH_LIMIT": "7", "OTHER_FETCH_LIMIT": "9"}, "WIKI")
+    assert found.get("fetch", "limit", kind=int) == 7 and found.get("fetch", "fast", kind=bool) is True and found.get("x", "y", 3) == 3
+    assert resources.BuildOptions(output="o", metabook="m").check().image_size == 1280
+    for bad in (resources.BuildOptions(output="o"), resources.BuildOptions(output="o", post_url="p", metabook="m"), resources.BuildOptions(output="o", pages=("a",), image_size=0)):
+        with pytest.raises(ValueError):
+            bad.check()
