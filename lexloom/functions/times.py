@@ -14,7 +14,7 @@ def _twelve(t):
     return (F.hour(t) + 11) % 12 + 1
 
 
-#: Format letters and what they give for a timestamp.
+#: Format letters; what they give for a timestamp is native code.
 CODES = {
     "Y": lambda t: F.year(t).cast("string"),
     "y": lambda t: F.date_format(t, "yy"),

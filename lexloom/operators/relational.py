@@ -68,6 +68,7 @@ def page_range(index: str, first: int, last: int, spark) -> DataFrame:
 
 
 # -- histories -------------------------------------------------------------------------------------------------------
+#: What counts as an address of an anonymous editor.
 IP4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 IP6 = r"(?i)^(?=.*:)(?:[\da-f]{0,4}:){2,7}[\da-f]{0,4}$"
 
