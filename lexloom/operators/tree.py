@@ -27,11 +27,14 @@ def ancestors(nodes: DataFrame, classes: list[str] | None = None) -> DataFrame:
 
 def level(nodes: DataFrame) -> DataFrame:
     """How many ancestors of its own class a node has: of the intervals of its class that began before it, those that haven't ended; one pass over each document."""
-    begins = nodes.select(DOC, "class", (F.col("node_id") * 2).alias("at"), F.lit(1).alias("d"), "node_id")
-    ends = nodes.select(DOC, "class", (F.col("post") * 2 + 1).alias("at"), F.lit(-1).alias("d"), F.lit(None).cast("int").alias("node_id"))
+    rest = [c for c in nodes.columns if c not in (DOC, "node_id")]
+    node = F.struct(*nodes.columns)
+    begin = F.struct((F.col("node_id") * 2).alias("at"), F.lit(1).alias("d"), node.alias("node"))
+    end = F.struct((F.col("post") * 2 + 1).alias("at"), F.lit(-1).alias("d"), F.when(F.lit(False), node).alias("node"))
+    both = nodes.where(F.col(DOC).isNotNull() & F.col("node_id").isNotNull()).select(DOC, "class", F.explode(F.array(begin, end)).alias("_e")).select(DOC, "class", "_e.*")
     before = Window.partitionBy(DOC, "class").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, -1)
-    counts = begins.unionByName(ends).withColumn("same_above", F.coalesce(F.sum("d").over(before), F.lit(0))).where(F.col("node_id").isNotNull()).select(DOC, "node_id", "same_above")
-    return nodes.join(counts, [DOC, "node_id"])
+    counted = both.withColumn("same_above", F.coalesce(F.sum("d").over(before), F.lit(0))).where(F.col("d") == 1)
+    return counted.select(*[F.col(f"node.{c}").alias(c) for c in (DOC, "node_id", *rest)], "same_above")
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
@@ -142,8 +145,10 @@ def sections(nodes: DataFrame) -> DataFrame:
 
 
 def violations(nodes: DataFrame) -> DataFrame:
-    """Rows that break the encoding: an interval that leaves its parent's, or a second root."""
-    up = nodes.select(DOC, F.col("node_id").alias("parent"), F.col("post").alias("up_post"))
+    """Rows that break the encoding: an interval that leaves its parent's, or a second root.
+
+    Nodes and their parents are as many, and what Spark takes a parsed table's size to be is far too small: they never meet by a broadcast."""
+    up = nodes.select(DOC, F.col("node_id").alias("parent"), F.col("post").alias("up_post")).hint("merge")
     bad = nodes.join(up, [DOC, "parent"]).where((F.col("node_id") <= F.col("parent")) | (F.col("post") > F.col("up_post"))).select(DOC, "node_id", F.lit("interval").alias("rule"))
     roots = nodes.where(F.col("parent").isNull()).groupBy(DOC).agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("node_id")).where(F.col("n") > 1).select(DOC, "node_id", F.lit("root").alias("rule"))
     return bad.unionByName(roots)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions, markup, styles, text, times, titles
 from ..operators import clean, layout, relational, templates, tree, wikitext
+from ..session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -344,9 +345,9 @@ def template_expansion(spark, sf):
     return out.select(F.col("page_id").cast("long").alias("p_partkey"), "text")
 
 
-def _markup_nodes(spark, sf) -> DataFrame:
+def _markup_nodes(spark, sf, columns: list[str] | None = None) -> DataFrame:
     row = F.concat(F.lit("== "), F.col("p_brand"), F.lit(" ==\n'''"), F.col("p_name"), F.lit("''' is a [["), F.col("p_type"), F.lit("|kind]].\n* one\n** two\n* three\n{|\n! a !! b\n|-\n| 1 || 2\n|}\n=== Sub ===\nlast <ref name=\"r\">note</ref>"))
-    return wikitext.parse_pages(t(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), row.alias("text")))
+    return wikitext.parse_pages(t(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), row.alias("text")), columns=columns)
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS doc_id, v.class AS class, CAST(v.n AS BIGINT) AS n FROM part, (VALUES ('Article', 1), ('Section', 2), ('Strong', 1), ('ArticleLink', 1), ('ItemList', 2), ('Item', 3), ('Table', 1), ('Row', 2), ('Cell', 4), ('Reference', 1), ('Paragraph', 2)) v(class, n)""")
@@ -362,7 +363,9 @@ def contents(spark, sf):
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 0 AS violations, 2 AS deepest_list FROM part""")
 def tree_relations(spark, sf):
-    nodes = _markup_nodes(spark, sf)
+    path = shared_folder(spark, "nodes")  # pages are parsed once, and joins see how large the tree tables are
+    _markup_nodes(spark, sf, ["node_id", "parent", "post", "class"]).write.parquet(path)
+    nodes = spark.read.schema("doc_id string, node_id int, parent int, post int, class string").parquet(path)
     bad = tree.violations(nodes).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("bad"))
     deep = tree.level(nodes.where(F.col("class") == "ItemList")).groupBy("doc_id").agg((F.max("same_above") + 1).cast("int").alias("deepest_list"))
     return deep.join(bad, "doc_id", "left").select("doc_id", F.coalesce("bad", F.lit(0)).alias("violations"), "deepest_list")

@@ -28,3 +28,10 @@ def test_all_expressions(spark):
 def test_all_jobs(spark):
     got, want = both(spark, "job_replay", "events")
     assert got == want and sum(got.values()) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_tree_tables_are_parsed_once_and_never_broadcast(spark):
+    """What Spark takes a parsed table's size to be is that of its compressed input: a broadcast of it filled the driver."""
+    got, want = both(spark, "tree_relations", "part")
+    plan = entry.queries()["tree_relations"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert got == want and "MapInArrow" not in plan and "Broadcast" not in plan
