@@ -13,8 +13,8 @@ whose expected counts are summed per class across tasks (the model's size, not t
 forward recursion over all documents. Long documents are run in segments that are tied together exactly: the products of a
 segment's transition matrices give the state distributions at its two ends.
 
-The start values of the states come from a small model fitted on segments of ``START_DOCS`` training documents, chosen by hashes of their classes; the
-rounds then run over all of them. So scores don't depend on how rows are dealt to tasks (but for the last digits of sums).
+The states start as the unigram shares of all training documents, each with its own fixed noise; all rounds run over all of these documents.
+So scores depend neither on ids nor on how rows are dealt to tasks (but for the last digits of sums).
 
 Defined results: a null text is empty (one end token); a null doc_id counts as empty text where it is hashed; without training
 documents every token is unknown, N and V are 0; rows are scored one by one, so repeated rows get equal scores; other columns play no
@@ -36,11 +36,10 @@ from pyspark.sql import functions as F
 from .common import slices, texts, written
 from .wordscan import HashIndex, Words, mixed, pieces
 
-STATES, ROUNDS = 8, 2
+STATES, ROUNDS = 8, 5
 OWN, SUFFIXES = 8192, 8192
 #: Most frequent tokens whose counts are shipped with the tasks (about 2 MB); others are looked up by a join.
 HOT = 1 << 17
-START_DOCS, START_ROUNDS = 400, 12
 SEGMENT = 2048
 #: Bytes of class sequences (two a token) that are run together.
 CLASS_BYTES = 800_000
@@ -296,16 +295,12 @@ def reestimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram:
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def started(docs: list[np.ndarray], classes: int, unigram: np.ndarray, states: int, rounds: int) -> Model:
-    """A first model from a few documents: noisy states that tend to stay, and some rounds over these documents."""
+def started(classes: int, unigram: np.ndarray, states: int) -> Model:
+    """A first model: noisy states that tend to stay."""
     rng = np.random.default_rng(7)
     emit = unigram[:, None] * rng.uniform(0.3, 1.7, (classes, states))
     move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    for _ in range(rounds if docs else 0):
-        start, move, emit, _ = expectations(docs, model.single(), classes)
-        model = reestimated(start, move, emit, unigram)
-    return model
+    return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def scored(docs: DataFrame, root: str, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -343,15 +338,10 @@ def scored(docs: DataFrame, root: str, states: int = STATES, rounds: int = ROUND
 
     del hot, own
     sequences = written(docs.mapInArrow(_sequences(vocabulary), _SEQUENCES), f"{root}/sequences")
-    training = sequences.where(~F.col("held_out")).select("doc_id", "n_tokens", "classes")
-    # the start sample: documents with the smallest hashes of their classes, of each the segment that the hash names
-    mark = F.xxhash64("classes", "doc_id")
-    part = F.pmod(mark, F.ceil(F.col("n_tokens") / SEGMENT)) * (2 * SEGMENT) + 1
-    every = max(1, training.count() // (4 * START_DOCS))  # a few times as many as wanted are looked at, however many tasks there are
-    few = training.where(F.pmod(mark, F.lit(every)) == 0).select(mark.alias("mark"), F.substring("classes", part.cast("int"), F.lit(2 * SEGMENT)).alias("classes")).orderBy("mark", "classes").limit(START_DOCS).collect()
-    model = started([np.frombuffer(r["classes"], "<u2").astype(np.int64) for r in few], classes, unigram, states, START_ROUNDS)
+    training = sequences.where(~F.col("held_out")).select("classes")
+    model = started(classes, unigram, states)
     columns = [f"s{i}" for i in range(states)]
-    for _ in range(rounds if few else 0):
+    for _ in range(rounds if total["n"] else 0):
         shipped = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -365,7 +355,7 @@ def scored(docs: DataFrame, root: str, states: int = STATES, rounds: int = ROUND
                 at = np.flatnonzero(sums.sum(axis=1) > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(sums[at, s]) for s in range(states)]], ["at", *columns])
 
-        gathered = training.select("classes").mapInArrow(expect, "at long, " + ", ".join(f"{c} double" for c in columns))
+        gathered = training.mapInArrow(expect, "at long, " + ", ".join(f"{c} double" for c in columns))
         rows = gathered.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
         sums = np.zeros((classes + 1 + states, states))
         sums[rows["at"].to_numpy()] = rows[columns].to_numpy()

@@ -19,3 +19,16 @@ def test_op3_writes_no_row_for_each_query_and_cell(spark, tmp_path):
     assert len(got) == 2000 and np.mean([len(got[2 * i] & set(t.tolist())) / 20 for i, t in enumerate(true)]) >= 0.9
     assert sum(f.stat().st_size for f in (tmp_path / "index").rglob("*.parquet")) < 5 * x.nbytes
     assert multi_index.neighbours(frame, F.col("id") < 0, f"file://{tmp_path}/none", k=20).count() == 0
+
+
+def test_op9_learns_the_same_from_the_same_texts_under_other_ids(spark):
+    """No sample chosen by ids or hashes decides on the model: 900 documents of two mixed languages."""
+    from lexloom.llm import hidden_markov
+    from lexloom.llm.common import work_dir
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{w}" for w in rng.zipf(1.5, 30) % 200)) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    first = {r.doc_id: r.score for r in hidden_markov.scored(frame, work_dir(spark, "t")).collect()}
+    other = {r.doc_id - 10**6: r.score for r in hidden_markov.scored(frame.withColumn("doc_id", F.col("doc_id") + 10**6), work_dir(spark, "t")).collect()}
+    assert len(first) == 900 and first.keys() == other.keys() and all(abs(v - other[i]) < 1e-4 for i, v in first.items())
